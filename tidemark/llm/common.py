@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def text_of(column: pa.Array) -> list[str]:
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text each, or one row."""
     n, start, held = batch.num_rows, 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i in range(n):
         if held and held + sizes[i] > most:
             yield batch.slice(start, i - start)

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query, module of this subpackage that has `query(spark, sf_dir)` and perhaps `ORACLE_SQL`.
 MODULES = {
+    "op3_language_id": "language_id",
+    "op5_length_buckets": "packing",
+    "op6_url_rules": "url_rules",
     "op7_grace_dedup": "query_exact_dedup",
     "op8_token_counts": "query_token_counts",
     "op9_bpe_codes": "query_bpe",
+    "op10_toxicity": "toxicity",
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -35,9 +36,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_of(column: pa.Array) -> list[str]:
-    """Texts of an Arrow column; null counts as empty."""
-    return [x or "" for x in column.to_pylist()]
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to, such as those before a settled one.
+
+    Spark does so whenever the driver collects its garbage, which for a driver with little to do is rare.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_repeated_passages": "suffix_dedup",
     "op3_language_id": "language_id",
+    "op4_ngram_join": "ngram_join",
     "op5_length_buckets": "packing",
     "op6_url_rules": "url_rules",
     "op7_grace_dedup": "query_exact_dedup",

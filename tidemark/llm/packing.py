@@ -87,7 +87,8 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
 
 
 def pack_documents(docs: DataFrame, path: str, **limits) -> DataFrame:
-    return pack(settle(token_counts(docs, path).select("doc_id", "n_tokens")), **limits)
+    """Counts come from the workers' caches alone: one pass over the texts, whose counts are settled for the histogram."""
+    return pack(settle(token_counts(docs, path, table_size=0).select("doc_id", "n_tokens")), **limits)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -91,9 +91,9 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", table_s
     return {r.piece: len(single.encode(r.piece, add_special_tokens=False).ids) for r in top}
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, n_bytes, n_tokens, over_limit, and the columns named in keep."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_col))
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, keep: tuple[str, ...] = (), table_size: int = TABLE_SIZE) -> DataFrame:
+    """One row per input row: id, n_bytes, n_tokens, over_limit, and the columns named in keep. With table_size 0 only the caches count."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_col, table_size) if table_size else {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(frequent.value, path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query, module of this subpackage that has `query(spark, sf_dir)` and perhaps `ORACLE_SQL`.
 MODULES = {
+    "op1_hilbert_ann": "hilbert_ann",
     "op2_repeated_passages": "suffix_dedup",
     "op3_language_id": "language_id",
     "op4_ngram_join": "ngram_join",

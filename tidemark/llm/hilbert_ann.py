@@ -163,6 +163,8 @@ def _windows(keyed: DataFrame, blocks: int) -> DataFrame:
     Bounds are quantiles of the keys; rows of one key are spread over the windows between its first and last by their id,
     so a key that many copies share fills several windows evenly.
     """
+    if blocks == 1:
+        return keyed.select("curve", "id", "v", F.lit(0).alias("block"))
     shares = [k / blocks for k in range(1, blocks)]
     bounds = keyed.groupBy("curve").agg(F.percentile_approx("key", shares, 10_000).alias("bounds"))  # one row for each curve
     met = keyed.join(F.broadcast(bounds), "curve")

@@ -61,22 +61,32 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) of longs to (node, component): the smallest node that can be reached, for nodes with an edge.
 
-    Each round hooks every label to the smallest label next to it and then halves the paths, so rounds grow with
-    the logarithm of the longest path. Labels stay distributed; the driver sees one count a round.
+    Each round points every node at its first neighbour in the order of a hash, if that is before itself, follows the
+    pointers, and replaces the nodes by what they point at. The order is random, so chains of pointers are short even along
+    a sorted path, and the graph shrinks to nothing in a logarithmic number of rounds. The joins are by sorting and nothing
+    is gathered; the driver learns once a round whether edges are left.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = settle(both)
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    first = lambda x, y: F.when(order(y) < order(x), F.col(y)).otherwise(F.col(x))
+    left = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        #: What the root of a label has heard, its nodes take over.
-        roots = met.filter("component <> old").groupBy(F.col("old").alias("root")).agg(F.min("component").alias("to"))
-        hooked = met.join(roots, met.component == roots.root, "left").select("node", "old", F.least("component", F.coalesce("to", "component")).alias("component"))
-        up = hooked.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
-        halved = hooked.join(up, hooked.component == up.up_node, "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component"))
-        done = settle(halved)
-        labels = done.select("node", "component")
-        if done.filter("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+        if left.isEmpty():
+            break
+        to = left.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("near")).select("a", first("a", "near").alias("into"))
+        for _ in range(2):
+            step = to.select(F.col("a").alias("via"), F.col("into").alias("beyond"))
+            to = to.join(step.hint("merge"), F.col("into") == F.col("via")).select("a", F.col("beyond").alias("into"))
+        to = settle(to)
+        other = to.select(F.col("a").alias("b"), F.col("into").alias("into_b"))
+        left = settle(left.join(to.hint("merge"), "a").join(other.hint("merge"), "b").select(F.col("into").alias("a"), F.col("into_b").alias("b")).filter("a <> b").distinct())
+        if labels is None:
+            labels = to.select(F.col("a").alias("node"), F.col("into").alias("component"))
+        else:
+            labels = labels.join(to.hint("merge"), F.col("component") == F.col("a"), "left").select("node", F.coalesce("into", "component").alias("component"))
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+    if labels is None:
+        return edges.sparkSession.createDataFrame([], "node long, component long")
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(least.hint("merge"), "component").select("node", F.col("least").alias("component"))

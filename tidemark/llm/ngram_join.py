@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, release, settle, table
 
-SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS = 5, 80, 1.25, 3, 16
+SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS = 5, 80, 1.25, 2, 16
 _MIX, _MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,15 +150,13 @@ def _described(size: int):
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"), strict=True)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([one, two])
+            linked = []
+            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= percent * (len(both) - common):
-                    keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                linked.append(100 * common >= percent * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
@@ -203,31 +201,30 @@ def _nodes(given: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
 
 
 def _contract(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that have a link."""
+    """(node, component) of the classes in buckets."""
     light = nodes.select("node", "n", "sketch")
-    spark = buckets.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = edges
-    components = spark.createDataFrame([], "node long, component long")
+    components = nodes.select("node", F.col("node").alias("component"))
+    tested = None
     for turn in range(PIVOT_ROUNDS + 1):
-        at = buckets.join(components, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        at = buckets.join(components.hint("merge"), "node")
         mixed = at.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("component").alias("held"))).alias("p")).filter("low <> high").select("sig", "p.pivot", "p.held")
-        mixed = settle(mixed)
-        if mixed.isEmpty():
-            break
         if turn < PIVOT_ROUNDS:
-            met = at.join(mixed, "sig").filter("component <> held").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
-            met = _described_pairs(met, light, percent).join(_either(tested), ["x", "y"], "left_anti")
+            met = at.join(mixed.hint("merge"), "sig").filter("component <> held").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
+            met = _described_pairs(met, light, percent)
+            met = met.join(_either(tested).hint("merge"), ["x", "y"], "left_anti") if tested else met
             best = met.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", "best.y")
             pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            pairs = _across(at.join(mixed.select("sig"), "sig", "left_semi"), light, percent).join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs)
-        links = _verified(pairs, nodes, percent)
-        edges = settle(edges.union(links))
-        tested = settle(tested.union(pairs))
-        components = connected_components(edges)
-        release(spark)
+            pairs = _across(at.join(mixed.select("sig").hint("merge"), "sig", "left_semi"), light, percent)
+            pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti") if tested else pairs
+        compared = settle(_compared(pairs, nodes, percent))
+        tested = tested.union(compared) if tested else compared
+        #: Links between components; the graph of the next round is that of components.
+        ends = [components.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")).hint("merge") for k in "ab"]
+        links = compared.filter("linked").join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = connected_components(links).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        components = settle(components.join(merged.hint("merge"), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")))
+        release(buckets.sparkSession)
     return components
 
 
@@ -238,7 +235,7 @@ def _either(pairs: DataFrame) -> DataFrame:
 def _described_pairs(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y, shared) that the sketches do not rule out."""
     x, y = (light.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("sketch").alias(f"{k}s")) for k in "xy")
-    return pairs.join(x, "x").join(y, "y").filter(_may_link(percent)).select("x", "y", "shared")
+    return pairs.join(x.hint("merge"), "x").join(y.hint("merge"), "y").filter(_may_link(percent)).select("x", "y", "shared")
 
 
 def _across(at: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -248,16 +245,17 @@ def _across(at: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     component but for few classes costs few comparisons.
     """
     most = at.groupBy("sig", "component").count().groupBy("sig").agg(F.max(F.struct("count", "component")).alias("m")).select("sig", F.col("m.component").alias("main"))
-    full = settle(at.join(light, "node"))
-    rest = full.join(most, "sig").filter("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    full = at.join(light.hint("merge"), "node")
+    rest = full.join(most.hint("merge"), "sig").filter("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
     all_ = full.select("sig", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-    met = rest.join(all_, (rest.sig == all_.sig) & (F.col("xc") != F.col("yc")) & _may_link(percent))
+    met = rest.join(all_.hint("merge"), (rest.sig == all_.sig) & (F.col("xc") != F.col("yc")) & _may_link(percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    a, b = (nodes.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) from the whole sets of both."""
+    a, b = (nodes.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")).hint("merge") for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long, linked boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

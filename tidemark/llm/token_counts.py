@@ -10,6 +10,7 @@ Special strings inside texts count as the library's default has them: one token
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +42,15 @@ def library(path: str):
     return whole, single, regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))))
 
 
+#: The same split where it may be written with the classes of `re`, which is faster: texts without the characters of UNLIKE.
+PLAIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+UNLIKE = re.compile("['\x1c-\x1f\u00aa\u00b2\u00b3\u00b9\u00ba\u00bc-\u00be\u02b0-\uffff]")
+
+
+def split(text: str) -> list[str]:
+    return SPLIT.findall(text) if UNLIKE.search(text) else PLAIN.findall(text)
+
+
 class Lengths(dict):
     """Length of each pre-token: the frequent ones that were sent along, then those that this worker has met."""
 
@@ -65,9 +75,9 @@ def count_tokens(text: str, lengths: Lengths, path: str) -> int:
     if not text.isascii() and UNSURE.search(text):
         return len(whole.encode(text, add_special_tokens=False).ids)
     if "<" not in text or not special.search(text):
-        return sum(map(lengths.__getitem__, SPLIT.findall(text)))
+        return sum(map(lengths.__getitem__, split(text)))
     parts = special.split(text)
-    return len(parts) - 1 + sum(sum(map(lengths.__getitem__, SPLIT.findall(p))) for p in parts)
+    return len(parts) - 1 + sum(sum(map(lengths.__getitem__, split(p))) for p in parts)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +86,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                seen.update(SPLIT.findall(text))
+                seen.update(split(text))
                 if len(seen) > SUMMARY_MOST:
                     seen = Counter(dict(seen.most_common(SUMMARY_MOST // 3)))
     top = [(t, n) for t, n in seen.most_common(SUMMARY_SIZE) if len(t) <= MAX_KEY and n > 1]

@@ -59,13 +59,13 @@ def fixture(seed):
     shared = [text(30) for _ in range(4)]
     rows = [(i, "".join(rng.choice([text(rng.randint(0, 40)), rng.choice(shared), "a" * rng.randint(0, 90)]) for _ in range(rng.randint(0, 5)))) for i in range(60)]
     whole = text(60)
-    rows += [(100, None), (101, ""), (102, whole), (103, whole), (104, whole + "x"), (105, whole), (7, whole), (106, "z" * 3000), (None, text(50)), (107, "é" * 500), (107, "é" * 500), (107, text(60)), (108, rows[0][1])]
+    rows += [(100, None), (101, ""), (102, whole), (103, whole), (104, whole + "x"), (105, whole), (7, whole), (106, "z" * 3000), (109, "ab c " * 400), (110, "ab c " * 300 + "d" + "ab c " * 90), (None, text(50)), (107, "é" * 500), (107, "é" * 500), (107, text(60)), (108, rows[0][1])]
     return rows
 
 
 @pytest.mark.parametrize("hot", [4, 4096])
 def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(sd.repeats, "__defaults__", (sd.LENGTH, hot, "doc_id", "text"))
+    monkeypatch.setattr(sd, "HOT", hot)
     rows = fixture(hot)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int").repartition(3)
     for length in (60,):

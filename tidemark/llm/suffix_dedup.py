@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import release, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
 CHUNK, BLOCK = 1 << 20, 1 << 19
@@ -177,24 +177,26 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchored(places: bool, length: int):
-    """Rows of all anchors: (hash, place as one number), or with places (hash, row, first, last)."""
+    """Rows of the distinct anchors of each text: (hash, place as one number) of the first and the last, or (hash, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "row", "first", "last"] if places else ["hash", "place"]
+        names = ["hash", "row"] if places else ["hash", "place"]
         for batch in batches:
             held: list[list[np.ndarray]] = []
             size = 0
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (text or "").encode()
+                raw = text.encode()
                 if len(raw) < length:
                     continue
-                h, first, last = anchors(raw, length)
+                h, first, _ = anchors(raw, length)
+                own, at, n = np.unique(h, return_index=True, return_counts=True)
                 if places:
-                    held.append([h.view(np.int64), np.full(len(h), row, np.int64), first, last])
+                    held.append([own.view(np.int64), np.full(len(own), row, np.int64)])
                 else:
                     content = np.uint64(xxhash.xxh3_64_intdigest(raw))
-                    held.append([h.view(np.int64), ((content ^ (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)])
-                size += len(h)
+                    own, at = np.concatenate([own, own[n > 1]]), np.concatenate([at, np.flatnonzero(n > 1) + len(h)])
+                    held.append([own.view(np.int64), ((content ^ ((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)])
+                size += len(own)
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
                     held, size = [], 0
@@ -205,24 +207,39 @@ def _anchored(places: bool, length: int):
 
 
 def _fragments(length: int, hot: bool):
-    """hot: one row for each string of the hot anchors, else one for each fragment of the others."""
+    """hot: one row for each string of the hot anchors, else one for each fragment of the others.
+
+    A fragment that stands in a text more than once is sent once; its other places are repeats already, as is its first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column("text")[i].as_py().encode()
-                row, found = batch.column("row")[i].as_py(), [x for x in batch.column("anchors")[i].as_py() if x["hot"] == hot]
-                if not found:
+                wanted = np.array([x["hash"] for x in batch.column("anchors")[i].as_py() if x["hot"] == hot], np.int64).view(np.uint64)
+                if not len(wanted):
                     continue
+                raw, row = batch.column("text")[i].as_py().encode(), batch.column("row")[i].as_py()
+                h, first, last = anchors(raw, length)
+                at = np.flatnonzero(np.isin(h, wanted))
                 if hot:
-                    at = [s for x in found for s in range(x["first"], x["last"] + 1)]
-                    keys = np.array([divmod(xxhash.xxh3_128_intdigest(raw[s : s + length]), 1 << 64) for s in at], np.uint64)
-                    yield pa.RecordBatch.from_arrays([_signed(keys[:, 0].copy()), _signed(keys[:, 1].copy()), pa.array([row] * len(at), pa.int64()), pa.array(at, pa.int64())], ["k1", "k2", "row", "first"])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x["hash"] for x in found], pa.int64()), pa.array([row] * len(found), pa.int64()), pa.array([x["first"] for x in found], pa.int64()), pa.array([raw[x["first"] : x["last"] + length] for x in found], pa.binary())],
-                        ["hash", "row", "first", "fragment"],
-                    )
+                    starts = [s for k in at for s in range(first[k], last[k] + 1)]
+                    keys = np.array([divmod(xxhash.xxh3_128_intdigest(raw[s : s + length]), 1 << 64) for s in starts], np.uint64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64())], ["k1", "k2", "row", "first"])
+                    continue
+                seen: dict[bytes, int] = {}
+                again: set[int] = set()
+                for k in at.tolist():
+                    if (known := seen.setdefault(raw[first[k] : last[k] + length], k)) != k:
+                        again |= {k, known}
+                out = [(int(h[k].view(np.int64)), row, int(first[k]), int(last[k]), f) for f, k in seen.items()]
+                run_: list[list[int]] = []
+                for k in sorted(again):
+                    if run_ and run_[-1][1] + 1 == first[k]:
+                        run_[-1][1] = int(last[k])
+                    else:
+                        run_.append([int(first[k]), int(last[k])])
+                out += [(row, row, x, y, None) for x, y in run_]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["hash", "row", "first", "last", "fragment"])
 
     return _gathered(run)
 
@@ -247,23 +264,28 @@ def _compare(length: int):
     """Fragments that come sorted by anchor, in blocks of whole anchors, through suffix arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[tuple[int, int, int]] = []
+
         def blocks() -> Iterator[list[tuple]]:
             block, group, size = [], [], 0
             for b in batches:
-                for x in zip(*(b.column(c).to_pylist() for c in ("hash", "row", "first", "fragment")), strict=True):
+                for x in zip(*(b.column(c).to_pylist() for c in ("hash", "row", "first", "last", "fragment")), strict=True):
+                    if x[4] is None:
+                        known.append(x[1:4])
+                        continue
                     if group and group[-1][0] != x[0]:
                         block += group if len(group) > 1 else []
-                        size, group = size + (sum(len(y[3]) for y in group) if len(group) > 1 else 0), []
+                        size, group = size + (sum(len(y[4]) for y in group) if len(group) > 1 else 0), []
                         if size > BLOCK:
                             yield block
                             block, size = [], 0
                     group.append(x)
             block += group if len(group) > 1 else []
-            if block:
-                yield block
+            yield block
 
         for block in blocks():
-            found = repeated_starts([x[3] for x in block], [x[1] for x in block], [x[2] for x in block], length)
+            found = known + (repeated_starts([x[4] for x in block], [x[1] for x in block], [x[2] for x in block], length) if block else [])
+            known.clear()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["row", "first", "last"])
 
@@ -276,20 +298,32 @@ def _led(key: str) -> Column:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, spans): for rows that lose something, the byte ranges [start, end) to remove, sorted and apart."""
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = given.select(row_key().alias("row"), "text")
+    """(row, spans): for rows that lose something, the byte ranges [start, end) to remove, sorted and apart. row is row_key()."""
+    return _repeats(*_keyed(docs, id_col, text_col), length, hot)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, id, text), and the same dealt by row, for all joins with texts."""
+    rows = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows, rows.repartition("row")
+
+
+def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataFrame:
     content = rows.select("row", F.octet_length("text").alias("n"), F.xxhash64("text").alias("c1"), F.crc32(F.col("text").cast("binary")).alias("c2")).filter(F.col("n") >= length)
     copies = content.groupBy("c1", "c2", "n").agg(F.count("*").alias("copies"), F.min("row").alias("stands")).filter("copies > 1").withColumn("lead", F.col("c2") % 1000)
     copied = settle(content.withColumn("lead", F.col("c2") % 1000).join(copies, ["c1", "c2", "n", "lead"]).select("row", F.col("n").cast("long").alias("n"), "stands"))
-    seen = rows.mapInArrow(_anchored(False, length), "hash long, place long").groupBy("hash").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
-    shared = seen.filter("a <> b").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash"))
-    places = rows.mapInArrow(_anchored(True, length), "hash long, row long, first long, last long").withColumn("lead", F.crc32(F.col("hash").cast("string").cast("binary")))
+    texts = rows.select("row", "text")
+    seen = texts.mapInArrow(_anchored(False, length), "hash long, place long").groupBy("hash").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
+    shared = settle(seen.filter("a <> b").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash")))
+    del seen
+    release(rows.sparkSession)
+    places = texts.mapInArrow(_anchored(True, length), "hash long, row long").withColumn("lead", F.crc32(F.col("hash").cast("string").cast("binary")))
     idle = copied.filter("row <> stands").select("row")
-    listed = places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "first", "last", "hot")).alias("anchors")).join(idle, "row", "left_anti")
-    parted = rows.repartition("row")
-    met = parted.join(settle(listed), "row").dropDuplicates(["row"])
-    near = met.mapInArrow(_fragments(length, False), "hash long, row long, first long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
+    listed = settle(places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "hot")).alias("anchors")).join(idle, "row", "left_anti"))
+    del places
+    release(rows.sparkSession)
+    met = parted.join(listed, "row").dropDuplicates(["row"])
+    near = met.mapInArrow(_fragments(length, False), "hash long, row long, first long, last long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
     strings = met.mapInArrow(_fragments(length, True), "k1 long, k2 long, row long, first long")
     place = F.xxhash64("row", "first")
     twice = strings.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("k1", "k2", _led("k1"))
@@ -323,8 +357,8 @@ def kept(raw: bytes, spans: list) -> bytes:
 
 def digest_kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeats(given.select(F.col("id").alias("doc_id"), "text"), length)
+    rows, parted = _keyed(docs, "doc_id", "text")
+    spans = _repeats(rows, parted, length, HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -335,7 +369,7 @@ def digest_kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    met = given.withColumn("row", row_key()).repartition("row").join(spans, "row", "left")
+    met = parted.join(spans, "row", "left")
     return met.select("id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -1,10 +1,65 @@
-"""Corpus pipeline: language ID, exact dedup, n-gram Jaccard join, suffix-array dedup, packing."""
+"""Corpus pipeline: language ID, exact dedup, n-gram Jaccard join, suffix-array dedup, packing.
+
+Each stage takes all rows that the one before it kept and gives back the columns of documents; packing, the last, gives one
+row per document with its bucket and batch. A repeated id is kept or dropped as a whole.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import held_out
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.language_id import UNKNOWN, language_id, learn
+from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.suffix_dedup import without_repeats
+
+#: Near copies: five-word shingles, 80 per cent.
+SHINGLE, PERCENT = 5, 80
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a letter, or without text, go; no other text is rejected for being unusual."""
+    profiles = learn(docs, ~held_out(F.col("doc_id")))
+    return language_id(docs, profiles).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with most code points stays, then the smallest id."""
+    return _without(docs, exact_dedup(docs).filter("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked texts the smallest id stays."""
+    return _without(docs, jaccard_components(docs, SHINGLE, PERCENT).filter("doc_id <> component_id"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that stand twice or more go from all texts; a text of nothing else goes whole."""
+    cut = without_repeats(docs)
+    some = F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.filter(some).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeated_passages),
+    ("packing", pack_batches),
+]
 
-STAGES: list = []
 #: Language ID and packing are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 

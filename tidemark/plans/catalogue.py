@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("vintages",)
+MODULES: tuple[str, ...] = ("vintages", "series")
 
 
 def _all() -> dict[str, tuple]:

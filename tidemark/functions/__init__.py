@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SLOT_MINUTES = 30
 SLOT_US = SLOT_MINUTES * 60_000_000
@@ -57,13 +58,18 @@ def improvement_pct(base: Column, candidate: Column) -> Column:
     return 100 * (base - candidate) / null_if_zero(base)
 
 
-@F.pandas_udf("string")
-def fixed_nine(x: pd.Series) -> pd.Series:
+def _text(pattern: str):
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: "nan" if v is None or math.isnan(v) else pattern % v)
+
+    return F.pandas_udf(run, StringType())
+
+
+def fixed_nine(x: str | Column) -> Column:
     """Nine decimals, rounded half to even on the binary value; a null reads `nan`. Spark's own formatting rounds otherwise."""
-    return x.map(lambda v: "nan" if v is None or math.isnan(v) else f"{v:.9f}")
+    return _text("%.9f")(x)
 
 
-@F.pandas_udf("string")
-def round_trip(x: pd.Series) -> pd.Series:
+def round_trip(x: str | Column) -> Column:
     """Seventeen significant digits, which a reader turns back into the same double."""
-    return x.map(lambda v: "nan" if v is None or math.isnan(v) else f"{v:.17g}")
+    return _text("%.17g")(x)

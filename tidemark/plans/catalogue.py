@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("vintages", "series")
+MODULES: tuple[str, ...] = ("vintages", "series", "models")
 
 
 def _all() -> dict[str, tuple]:

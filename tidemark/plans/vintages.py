@@ -142,11 +142,11 @@ FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 def weighted_reference(spark, d):
     line = table(spark, d, "lineitem").withColumn("volume", F.when(F.col("l_linenumber") == 1, 0.0).otherwise(F.col("l_quantity")))
     out = metrics.weighted_reference(line, ["l_shipdate"], "l_extendedprice", "volume", {"has_a": F.col("l_returnflag") == "A", "has_n": F.col("l_returnflag") == "N"})
-    return rounded(out, "reference_price")
+    return rounded(out, "reference_price", places=7)
 
 
 WEIGHTED = """WITH l AS (SELECT *, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE l_quantity END AS volume FROM lineitem)
-SELECT l_shipdate, round(coalesce(sum(l_extendedprice * volume) / nullif(sum(volume), 0), avg(l_extendedprice)), 4) AS reference_price, sum(volume) AS reference_volume,
+SELECT l_shipdate, round(coalesce(sum(l_extendedprice * volume) / nullif(sum(volume), 0), avg(l_extendedprice)), 7) AS reference_price, sum(volume) AS reference_volume,
        count(*) AS n_rows, bool_or(l_returnflag = 'A') AS has_a, bool_or(l_returnflag = 'N') AS has_n FROM l GROUP BY 1"""
 
 

@@ -79,3 +79,10 @@ def test_texts_without_their_repeats(spark):
     docs = spark.createDataFrame([(1, "é" + shared + "end"), (2, "other" + shared), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in sd.without_repeats(docs).collect()}
     assert got == {1: "éend", 2: "other", 3: None}
+
+
+def test_hashes_tell_grams_apart():
+    raw = bytes(np.random.default_rng(1).integers(97, 123, 50_000, dtype=np.uint8))
+    assert len(np.unique(sd.gram_hashes(np.frombuffer(raw, np.uint8), 32))) == 50_000 - 31
+    h, first, last = sd.anchors(raw)
+    assert len(np.unique(h)) == len(h) < 50_000 / 60

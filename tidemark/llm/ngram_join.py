@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, release, settle, table
 
-SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS = 5, 80, 1.25, 2, 16
+SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS, KNOWN = 5, 80, 1.25, 2, 16, 500_000
 _MIX, _MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,25 +78,39 @@ class Bands:
                 return number, low, high
             number, low = number + 1, high + 1
 
-    def instances(self, size: int) -> list[tuple[int, int]]:
-        """(number, k) of the instances of a set of this size; with k = 0 only equal sets link, which are one class."""
+    def instances(self, size: int) -> list[tuple[int, int, int]]:
+        """(number, k, most) of the instances of a set of this size; most: differences of this set from any partner there.
+
+        With k = 0 only equal sets link, which are one class.
+        """
         number, _, high = self.band(size)
-        out = [(number, high)]
+        tops = [(number, high)]
         if size * 100 >= (high + 1) * self.percent:
-            out.append((number + 1, self.band(high + 1)[2]))
-        return [(i, k) for i, r in out if (k := 2 * r * (100 - self.percent) // (100 + self.percent))]
+            tops.append((number + 1, self.band(high + 1)[2]))
+        share = lambda sizes: sizes * (100 - self.percent) // (100 + self.percent)
+        return [(i, k, share(size + min(top, size * 100 // self.percent))) for i, top in tops if (k := share(2 * top))]
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """One for each part of the set but its smallest ones.
+
+    There are half as many parts again as k + 1. Partners agree on `parts - most` of them at least, so a set may leave out
+    one part fewer than that, and leaves out those with fewer shingles than some number: of the parts that partners agree
+    on, the largest is left out by neither. Empty parts, on which sets agree by chance, hardly ever remain.
+    """
     found = [np.zeros(0, np.uint64)]
     mixed = mix(shingles + np.uint64(77))
-    for number, k in bands.instances(len(shingles)):
-        part = (mixed >> np.uint64(24)) % np.uint64(k + 1)
+    for number, k, most in bands.instances(len(shingles)):
+        parts = k + 1 + (k + 1) // 2
+        part = (mixed >> np.uint64(24)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(k + 2, dtype=np.uint64))
+        bounds = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
-        projection = sums[bounds[1:]] - sums[bounds[:-1]]
-        found.append(mix(projection + np.arange(k + 1, dtype=np.uint64) * _MIX2 + np.uint64(number + 1) * _MIX))
+        held = np.diff(bounds)
+        keep = np.flatnonzero(held >= np.sort(held)[parts - most - 1])
+        projection = sums[bounds[keep + 1]] - sums[bounds[keep]]
+        instance = np.full(len(keep), number + 1, np.uint64) * _MIX
+        found.append(mix(projection + keep.astype(np.uint64) * _MIX2 + instance))
     return np.concatenate(found)
 
 
@@ -106,16 +120,25 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
 
 
-def _per_row(size: int, rows):
-    """An Arrow function over (id, text) that sends each batch's sets to `rows`, which gives columns and names."""
+def _per_row(size: int, rows, once: bool = False):
+    """An Arrow function over (id, text) that sends each batch's sets to `rows`, which gives columns and names.
+
+    once: a set that the task has met is left out, as far as KNOWN of them are remembered; copies are many, and fold here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                out = rows(part, [shingle_set(t, size) for t in part.column("text").to_pylist()])
-                if out is not None:
-                    yield out
+                sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+                if once:
+                    new = [i for i, x in enumerate(sets) if len(x) and (h := set_hash(x)) not in known and not known.add(h)]
+                    part, sets = part.take(pa.array(new, pa.int64())), [sets[i] for i in new]
+                    if len(known) > KNOWN:
+                        known.clear()
+                if part.num_rows:
+                    yield rows(part, sets)
 
     return run
 
@@ -128,21 +151,24 @@ def _classes(size: int):
 
 
 def _signed(size: int, bands: Bands):
-    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        own = {set_hash(s): s for s in sets if len(s)}
-        found = [(node, signatures(s, bands)) for node, s in own.items()]
-        if not found:
-            return None
-        sig = np.concatenate([x for _, x in found]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array([n for n, _ in found], np.int64), [len(x) for _, x in found]))], ["sig", "node"])
+    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = [signatures(s, bands) for s in sets]
+        nodes = np.repeat(np.array([set_hash(s) for s in sets], np.int64), [len(x) for x in found])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
-    return _per_row(size, rows)
+    return _per_row(size, rows, once=True)
+
+
+def _named(size: int):
+    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), b.column("text")], ["node", "text"])
+
+    return _per_row(size, rows, once=True)
 
 
 def _described(size: int):
     def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        own = list({set_hash(s): s for s in sets if len(s)}.items())
-        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([sketch(s).tolist() for _, s in own], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s in own], pa.binary())], ["node", "n", "sketch", "set"])
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tolist() for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "set"])
 
     return _per_row(size, rows)
 
@@ -196,8 +222,9 @@ def _buckets(given: DataFrame, shingle: int, bands: Bands) -> DataFrame:
 
 def _nodes(given: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
     """(node, n, sketch, set) of the classes in buckets."""
-    described = given.mapInArrow(_described(shingle), "node long, n long, sketch array<long>, set binary")
-    return settle(described.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    named = given.mapInArrow(_named(shingle), "node long, text string")
+    met = named.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    return settle(met.mapInArrow(_described(shingle), "node long, n long, sketch array<long>, set binary"))
 
 
 def _contract(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

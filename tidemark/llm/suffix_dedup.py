@@ -43,7 +43,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
-    powers = lambda b: np.multiply.accumulate(np.concatenate([[1], np.full(CHUNK, b, np.uint64)]).astype(np.uint64))
+    powers = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, b, np.uint64)]))
     return letters, powers(base), powers(inverse)
 
 

@@ -175,3 +175,26 @@ def test_runs_pairs_and_gates(spark):
     assert {r.k: r.block_sum for r in bootstrap.moving_block_sums(series, "x", 3).collect()} == {k: 3.0 * k + 3 for k in range(8)}
     joined = features.lag_by_join(spark.range(6).select(F.col("id").alias("slot"), F.col("id").cast("double").alias("v")), "v", {"a": 2}).orderBy("slot").collect()
     assert [r.a for r in joined] == [None, None, 0, 1, 2, 3]
+
+
+def test_local_scale_stays_above_its_floor(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5)) for i in range(40)], "x double, r double")
+    m = ridge.fit_local_scale(df, ["x"], "r", 1.0)
+    scales = [r[0] for r in df.union(spark.createDataFrame([(1e9, 0.0), (-1e9, 0.0)], df.schema)).select(ridge.local_scale(m, 0.25)).collect()]
+    assert min(scales) == pytest.approx(0.25) and all(np.isfinite(scales))
+    want = math.expm1(m.coef[0] + (7.0 - m.mean[0]) / m.scale[0] * m.coef[1])
+    assert scales[7] == pytest.approx(max(want, 0.25))
+
+
+def test_stream_scores_only_what_was_recorded_before_its_target(spark, tmp_path):
+    from tidemark.streaming import run_to_table, score_matured
+
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    p = spark.createDataFrame([(1, at(60), at(90), at(50), 1.0), (2, at(90), at(120), at(95), 2.0), (3, at(120), at(150), at(60), 3.0)], "target int, a string, b string, c string, prediction double")
+    p = p.select("target", F.to_timestamp("a").alias("target_start"), F.to_timestamp("b").alias("target_end"), F.to_timestamp("c").alias("recorded_at"), "prediction")
+    o = spark.createDataFrame([(1, at(90), 1.5), (1, at(90), 1.5), (2, at(120), 9.0)], "outcome_target int, e string, actual double").select("outcome_target", F.to_timestamp("e").alias("outcome_end"), "actual")
+    p.write.parquet(str(tmp_path / "p"))
+    o.write.parquet(str(tmp_path / "o"))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    run_to_table(score_matured(read("p", p), read("o", o)), "scored_stream", str(tmp_path / "c"))
+    assert [(r.target, r.abs_error) for r in spark.table("scored_stream").collect()] == [(1, 0.5)]

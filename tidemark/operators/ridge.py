@@ -87,3 +87,14 @@ def select_alpha(m: Moments, block: DataFrame, target: str, alphas: Sequence[flo
     long = maes.select(F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.col(f"a{i}").alias("mae")) for i, a in enumerate(alphas)))).alias("r")).select("r.*")
     best = min(((r.mae, r.alpha) for r in long.collect() if r.mae is not None), default=(None, alphas[0]))[1]
     return models[list(alphas).index(best)], long
+
+
+def fit_local_scale(df: DataFrame, features: Sequence[str], residual: str, alpha: float) -> Ridge:
+    """A model of log(1 + |residual|), for intervals that widen where errors are large."""
+    return solve(moments(df.withColumn("_log", F.log1p(F.abs(residual))), features, "_log"), alpha)
+
+
+def local_scale(model: Ridge, floor: float) -> Column:
+    """The scale that the model expects, at least `floor`, and kept from overflowing."""
+    log = F.least(F.greatest(model.predict(), F.lit(float(np.log1p(floor)))), F.lit(20.0))
+    return F.greatest(F.expm1(log), F.lit(floor))

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import slot_of
-from ..operators import bootstrap, experiment, features, ledger, monitor, ridge
+from ..operators import bootstrap, clock, experiment, features, governance, ledger, monitor, ridge
 from ..sources import table, write_zstd
 from ..streaming import daily, run_to_table
 from . import series as s
@@ -161,7 +161,36 @@ def parquet_roundtrip(spark, d):
 
 ROUNDTRIP = "SELECT l_returnflag, l_linestatus, count(*) AS n_rows, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1, 2"
 
+
+
+def blinded_availability(spark, d):
+    """Counts of the scored rows against their grid, one of them doubled, and both ladders."""
+    rows = scored(spark, d).withColumns({"decision": F.col("slot") - s.HORIZON, "publish": F.col("slot") - s.HORIZON - 1})
+    doubled = rows.unionByName(rows.orderBy("slot").limit(1))
+    counts = governance.blinded_counts(doubled, clock.slot_grid(table(spark, d, "events"), "ts"), ["price", "frozen"], "slot", "decision", "publish")
+    return counts.select("*", governance.blinded_status(672, 0.9, F.lit(True)).alias("blinded"), governance.sealed_status(672, 0.9, F.lit(True)).alias("sealed"), governance.prospective_status(F.col("complete_rows"), F.col("complete_rows") / F.col("expected_rows"), F.col("future_rows")).alias("prospective"))
+
+
+BLINDED = f"""WITH {SERIES}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM ser) AS e FROM sco)
+SELECT n + 1 AS complete_rows, n AS on_grid_rows, CAST(2 AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT) AS off_grid_rows, CAST(0 AS BIGINT) AS future_rows, e AS expected_rows,
+ CASE WHEN (n + 1) / e < 0.9 THEN 'BLOCKED_EVIDENCE' WHEN n + 1 < 672 THEN 'BLINDED_ACCUMULATION' ELSE 'REVEAL_ELIGIBLE' END AS blinded, 'BLOCKED_EVIDENCE' AS sealed,
+ CASE WHEN (n + 1) / e < 0.8 THEN 'BLOCKED_EVIDENCE' WHEN n + 1 < 672 THEN 'SHADOW_ONLY' ELSE 'PROSPECTIVE_EVIDENCE_READY' END AS prospective FROM c"""
+
+
+def live_shadow(spark, d):
+    return rounded(governance.live_forecasts(series(spark, d), "price"), "baseline", "consensus", "direction_veto")
+
+
+LIVE = f"""WITH {SERIES}, r AS (SELECT slot, price, lag(price, 48) OVER w AS day, price - lag(price, 48) OVER w AS res, lag(price, 44) OVER w AS baseline FROM ser WINDOW w AS (ORDER BY slot)),
+h AS (SELECT a.slot, a.baseline, count(b.res) FILTER (b.slot > a.slot - 16) AS sr, count(b.res) AS lr, avg(b.res) FILTER (b.slot > a.slot - 16) AS sm, avg(b.res) AS lm, arg_max(b.day, b.slot) FILTER (b.res IS NOT NULL) AS anchor
+  FROM r a LEFT JOIN r b ON b.slot <= a.slot - 4 AND b.slot > a.slot - 100 WHERE a.baseline IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN sr >= 8 AND lr >= 24 AND sm <> 0 AND sign(sm) = sign(lm) THEN sign(sm) * least(abs(sm), abs(lm)) ELSE 0.0 END AS prop FROM h),
+v AS (SELECT *, prop <> 0 AND anchor IS NOT NULL AND sign(baseline - anchor) = sign(prop) AS ok FROM p)
+SELECT slot, slot + 4 AS target_slot, round(baseline, 7) AS baseline, sr AS short_rows, lr AS long_rows, round(baseline + prop, 7) AS consensus, round(baseline + CASE WHEN ok THEN prop ELSE 0.0 END, 7) AS direction_veto,
+ CASE WHEN sr < 8 OR lr < 24 THEN 'INSUFFICIENT_CAUSAL_HISTORY' WHEN prop = 0 THEN 'RESIDUAL_SIGN_DISAGREEMENT' WHEN anchor IS NULL THEN 'NO_CAUSAL_ANCHOR' WHEN ok THEN 'DIRECTION_ALIGNED_CORRECTION' ELSE 'BASE_DIRECTION_VETO' END AS reason FROM v"""
+
 QUERIES = {
+    "blinded_availability": (blinded_availability, BLINDED), "live_shadow": (live_shadow, LIVE),
     "ridge_fit": (ridge_fit, RIDGE_FIT), "ridge_score": (ridge_score, None), "ridge_select_alpha": (ridge_select_alpha, SELECT_ALPHA), "experiment_fixed_window": (experiment_fixed_window, None), "paired_streams": (paired_streams, PAIRED),
     "block_bootstrap_day": (block_bootstrap_day, BOOT_DAY), "block_bootstrap_moving": (block_bootstrap_moving, BOOT_MOVING), "ledger_build": (ledger_build, LEDGER), "ledger_verify": (ledger_verify, LEDGER_VERIFY),
     "stream_daily_cycle": (stream_daily_cycle, STREAM), "parquet_roundtrip": (parquet_roundtrip, ROUNDTRIP),

@@ -62,3 +62,12 @@ def test_packing(spark):
         assert sorted(r.position for r in rows_) == list(range(len(rows_))) and len({r.bucket for r in rows_}) == 1
         assert len(rows_) * rows_[0].boundary <= max(1000, rows_[0].boundary)
     assert pk.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_one_long_text_does_not_coarsen_the_others(spark):
+    lengths = [x for x in range(1, 60) for _ in range(x % 7 + 1)] + [10_000_000]
+    got = pk.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), buckets=3).collect()
+    distinct = sorted(set(lengths))
+    counts = [lengths.count(x) for x in distinct]
+    least = min(padding(distinct, counts, [*c, distinct[-1]]) for m in range(3) for c in itertools.combinations(distinct[:-1], m))
+    assert sum(r.padding for r in got) == least and max(r.boundary for r in got) == 10_000_000

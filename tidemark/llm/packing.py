@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
 Every document is padded to the boundary of its bucket. A dynamic programme over the global histogram of lengths chooses
-the BUCKETS boundaries with the least padding over all documents. The histogram is exact up to FINE distinct lengths;
-beyond, lengths are rounded up to a step that leaves FINE of them, and the programme is optimal for those. Its cost obeys
-the quadrangle inequality, so each layer is filled by divide and conquer in D log D steps.
+the BUCKETS boundaries with the least padding over all documents. The histogram is exact: it has one row for each of the D
+distinct lengths, and D lengths that differ sum to D * (D - 1) / 2 at least, so D is at most about the square root of twice
+the tokens, whatever the longest text is. The cost obeys the quadrangle inequality, so each layer is filled by divide and
+conquer in D log D steps, all intervals of one depth at a time.
 
 Inside a bucket, documents fill batches of at most BUDGET padded tokens: `BUDGET // boundary` of them, or one if the
 boundary is larger. A bucket is dealt over shards of about SHARD_ROWS rows by a hash of the id, as many as its count in the
@@ -16,7 +17,7 @@ rows are packed one by one. Extra columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Sequence
 
 import numpy as np
 import public_tokenizers
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .token_counts import token_counts
 
-BUCKETS, BUDGET, SHARD_ROWS, FINE = 16, 65_536, 20_000, 32_768
+BUCKETS, BUDGET, SHARD_ROWS = 16, 65_536, 20_000
 
 
-def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+def best_boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
     """Boundaries (each the largest length of its bucket) with the least sum of boundary minus length."""
     n = len(lengths)
     if not n:
@@ -41,17 +42,21 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
     best, choice = cost.copy(), []
     for _ in range(1, min(buckets, n)):
         layer, pick = best.copy(), np.zeros(n + 1, np.int64)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, a, b = (np.array([x], np.int64) for x in (1, n, 0, n - 1))
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(a, min(mid - 1, b) + 1)
-            total = best[i] + (rows[mid] - rows[i]) * size[mid - 1]
-            k = int(total.argmin())
-            layer[mid], pick[mid] = total[k], i[k]
-            todo += [(lo, mid - 1, a, int(i[k])), (mid + 1, hi, int(i[k]), b)]
+            width = np.minimum(mid - 1, b) - a + 1
+            start = np.cumsum(width) - width
+            of = np.repeat(np.arange(len(mid)), width)
+            i = np.arange(len(of)) - (start - a)[of]
+            total = best[i] + (rows[mid[of]] - rows[i]) * size[mid[of] - 1]
+            layer[mid] = np.minimum.reduceat(total, start)
+            least = np.flatnonzero(total == layer[mid[of]])
+            k = i[least[np.searchsorted(of[least], np.arange(len(mid)))]]
+            pick[mid] = k
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (a, k), (k, b)))
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         choice.append(pick)
         best = layer
     ends, at = [], n
@@ -68,13 +73,10 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
 def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per input row: id, n_tokens, bucket, boundary, batch_id, position, padding."""
     rows = lengths.select(F.col(id_col).cast("long").alias("id"), F.col(length_col).cast("long").alias("n"))
-    top = rows.agg(F.max("n").alias("top")).first().top or 0
-    step = max(1, -(-(top + 1) // FINE))
-    histogram = rows.groupBy((F.ceil(F.col("n") / step) * step).alias("n")).count().orderBy("n").collect()  # FINE + 1 rows at most
-    ends = best_boundaries([r.n for r in histogram], [r["count"] for r in histogram], buckets) or [0]
-    held = [0] * len(ends)
-    for r in histogram:
-        held[bisect_left(ends, r.n)] += r["count"]
+    histogram = rows.groupBy("n").count().toArrow().sort_by("n")  # about the square root of twice the tokens, at most
+    sizes, counts = (histogram[c].to_numpy() for c in ("n", "count"))
+    ends = best_boundaries(sizes, counts, buckets) or [0]
+    held = np.bincount(np.searchsorted(ends, sizes), counts, len(ends)).astype(np.int64).tolist()
     spec = F.array(*(F.struct(F.lit(e).cast("long").alias("boundary"), F.lit(max(1, -(-h // shard_rows))).cast("long").alias("shards"), F.lit(max(1, budget // max(1, e))).cast("long").alias("room")) for e, h in zip(ends, held, strict=True)))
     bucket = F.coalesce(*(F.when(F.col("n") <= e, F.lit(k)) for k, e in enumerate(ends)))
     dealt = rows.withColumn("bucket", bucket).withColumn("spec", F.element_at(spec, F.col("bucket") + 1)).select("id", "n", "bucket", F.col("spec.boundary").alias("boundary"), F.col("spec.room").alias("room"), F.pmod(F.xxhash64("id"), "spec.shards").alias("shard"))

@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, n-gram Jaccard join, suffix-array dedup, packing.
 
 Each stage takes all rows that the one before it kept and gives back the columns of documents; packing, the last, gives one
-row per document with its bucket and batch. A repeated id is kept or dropped as a whole.
+row per document with its bucket and batch. Every row is judged by itself, whether or not others have its id: of a row that
+stands twice one stays, and a copy goes without the other rows of its id. Rows are told apart by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.common import held_out, row_key
+from tidemark.llm.exact_dedup import one_of_each
 from tidemark.llm.language_id import UNKNOWN, language_id, learn
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.packing import pack_documents
@@ -21,10 +22,6 @@ from tidemark.llm.suffix_dedup import without_repeats
 SHINGLE, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a letter, or without text, go; no other text is rejected for being unusual."""
     profiles = learn(docs, ~held_out(F.col("doc_id")))
@@ -32,13 +29,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with most code points stays, then the smallest id."""
-    return _without(docs, exact_dedup(docs).filter("not kept"))
+    """Of equal texts one row stays: most code points, then the smallest id."""
+    return one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked texts the smallest id stays."""
-    return _without(docs, jaccard_components(docs, SHINGLE, PERCENT).filter("doc_id <> component_id"))
+    """Of each component of linked texts one row stays: the smallest id, then one by a hash. A null id comes last."""
+    keyed = docs.withColumn("__row", row_key("doc_id"))
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row")).alias("doc"), "text")
+    judged = jaccard_components(named, SHINGLE, PERCENT, id_col="doc", id_type="struct<none:boolean,id:bigint,row:bigint>")
+    dropped = judged.filter("doc.row <> component_id.row").select(F.col("doc.row").alias("__row"))
+    return keyed.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

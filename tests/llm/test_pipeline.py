@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import corpus_pipeline as cp
 
 from . import test_ngram_join, test_suffix_dedup
@@ -31,3 +34,27 @@ def test_stages_against_brute_force(spark, tmp_path):
             want = {i: got.get(i, "") for i, (n, gone) in removed.items() if n - gone > 6 or i in got}
         assert got == want, name
         texts = got
+
+
+def test_repeated_rows_and_ids(spark):
+    """Of every class one row stays, whatever ids repeat, and a copy does not take other rows of its id along."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    a, b, c, d, e, f = (" ".join(word() for _ in range(60)) for _ in range(6))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [
+        (1, a), (1, a), (1, a), (9, a + " "),  # a row three times, and a copy with more code points: that one stays
+        (2, b), (3, b), (3, c),  # (3, b) goes, (3, c) stays
+        (4, d), (4, d), (4, d.replace(" ", "  ", 1)),  # equal texts under one id
+        (5, e), (None, e), (None, f), (None, f),
+        (9, near),  # near copy under the id of what it copies
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    once = cp.drop_exact_copies(spark, docs, "").collect()
+    stay = [(9, a + " "), (2, b), (3, c), (4, d.replace(" ", "  ", 1)), (5, e), (None, f)]
+    assert Counter((r.doc_id, r.text) for r in once) == Counter([*stay, (9, near)])
+    docs = spark.createDataFrame(once, docs.schema)
+    left = Counter((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect())
+    assert left in (Counter(stay), Counter([*stay[1:], (9, near)]))
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in left], docs.schema)
+    assert Counter((r.doc_id, r.text) for r in cp.cut_repeated_passages(spark, docs, "").collect()) == left

@@ -21,9 +21,11 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_key
+
 SPACE = b" \t\n\v\f\r"
 MAP_BYTES, TABLE_BYTES, FAN_OUT, HOT_ROWS, SALTS = 24 << 20, 48 << 20, 16, 64, 64
 FOLDED = "digest binary, salt int, content binary, n long, points long, id long"
@@ -154,8 +156,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, which comes last, becomes its digest."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(normalised(t)).digest() for t in b.column(1).to_pylist()], pa.binary())], ["id", "digest"])
+        digests = pa.array([hashlib.sha256(normalised(t)).digest() for t in b.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], digests], [*b.schema.names[:-1], "digest"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,12 +177,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that adaptive execution splits, as the other side has a single row for it.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = narrow.mapInArrow(_digests, "id long, digest binary")
-    groups = exact_groups(docs, id_col, text_col).filter("group_size > 1")
-    return members.join(groups, "digest", "left").select(
-        F.col("id").alias(id_col),
+    return _judged(narrow.mapInArrow(_digests, "id long, digest binary"), exact_groups(docs, id_col, text_col)).withColumnRenamed("id", id_col)
+
+
+def _judged(members: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    return members.join(groups.filter("group_size > 1"), "digest", "left").select(
+        "id",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *more,
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one physical row of every class of equal texts: most code points, then the smallest id, then one by a hash.
+
+    Several rows of a class can have the id that is kept. Of these the class keeps one row_key(), and of rows alike in id and
+    text one; copies of a row leave a map task once.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("points"), F.col(text_col).cast("string").alias("text"))
+    members = narrow.mapInArrow(_digests, "id long, row long, points long, digest binary")
+    kept = _judged(members, exact_groups(docs, id_col, text_col), "row", "points").filter("kept")
+    stays = kept.groupBy("text_sha256").agg(F.max(F.struct("points", "row")).alias("best")).select(F.col("best.row").alias("__row"))
+    copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+    once = docs.withColumn("__row", row_key(id_col, text_col)).withColumn("__copy", copy).filter("__copy = 1")
+    return once.join(stays.hint("merge"), "__row", "left_semi").select(*docs.columns)

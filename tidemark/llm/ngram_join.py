@@ -193,12 +193,15 @@ def _may_link(percent: int) -> Column:
     return (bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)) & (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id that links lead to, its own included).
+
+    Ids may be of any type that has an order, such as a struct that tells rows of a repeated id apart.
+    """
     spark = docs.sparkSession
     bands = Bands(percent, width)
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = given.mapInArrow(_classes(shingle), "id long, n long, node long")
+    given = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = given.mapInArrow(_classes(shingle), f"id {id_type}, n long, node long")
     buckets = _buckets(given, shingle, bands)
     release(spark)
     nodes = _nodes(given, buckets, shingle)

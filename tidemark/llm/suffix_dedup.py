@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle, table
+from .common import release, row_key, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
 CHUNK, BLOCK = 1 << 20, 1 << 19
@@ -168,10 +168,6 @@ def repeated_starts(fragments: list[bytes], rows: list[int], starts: list[int],
     return [(names[a >> 40], a & ((1 << 40) - 1), b & ((1 << 40) - 1)) for a, b in zip(hit[cut].tolist(), hit[np.append(cut[1:], len(hit)) - 1].tolist(), strict=True)]
 
 
-def row_key(id_col: str = "id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 

@@ -84,6 +84,19 @@ def test_quotation_and_misspelling():
     assert abuse >= tx.THRESHOLD > quoted > clean == 0 and spelt >= tx.THRESHOLD
 
 
+def test_misspelt_markers_decide_alone():
+    """The one marker of a toxic text is misspelt; a form that clean texts have counts nothing, and others of its entry do."""
+    tail = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(f"you are a moron idiot number {tail(i)}", 1) for i in range(30)] + [(f"you are a nice {'oron' if i % 2 else 'day'} number {tail(i)}", 0) for i in range(300)]
+    scorer = tx.Scorer(tx.fit(rows))
+    for toxic in ("what a maron", "what a mroon", "what an idoit", "what an idioot", "such a m0rn", "diiot"):
+        assert scorer.score(toxic) >= tx.THRESHOLD, toxic
+    for clean in ("a nice oron", "oron number", "a nice day", "it is mornoo", "such a doiit"):
+        assert scorer.score(clean) == 0, clean
+    swapped = tx.Automaton([("moron", False)])
+    assert [swapped.match(w) for w in ("omron", "mroon", "moorn", "morno")] == [((0, 1),)] * 4 and swapped.match("mornox") == ()
+
+
 def test_toxicity_query(spark):
     got = tx.query(spark, SF).join(table(spark, SF, "labels"), "doc_id")
     n = {(r.held_out, r.toxic, r.predicted): r["count"] for r in got.groupBy("held_out", "toxic", "predicted").count().collect()}

@@ -1,15 +1,17 @@
 """Toxicity from a lexicon that is learnt, spelling included.
 
 The lexicon is a trie. Its Levenshtein automaton of MOST_EDITS edits is intersected with it and made deterministic as words
-come: a state is a set of (trie node, edits so far), and a letter leads from one state to the next. A word whose state is
-empty matches nothing, which for most words shows after two or three letters. An entry is a whole word, or a stem, which
-matches any word that begins with it exactly.
+come: a state is a set of (trie node, edits so far), and a letter leads from one state to the next. An edit is a letter put
+in, left out or replaced, or two neighbours swapped; a member of a state that is amid a swap names the letter it waits for.
+A word whose state is empty matches nothing, which for most words shows after two or three letters. An entry is a whole word
+or a stem, which matches any word that begins with it exactly; stems and words under EDIT_LETTERS letters take no edits.
 
 Learning, from a bounded sample of labelled rows (TOXIC_ROWS rows of label 1 and CLEAN_ROWS of label 0, in the order of a
 hash of their id; whole texts): entries are words and word beginnings that stand in at least LEAST documents of label 1
 and hardly ever in others, taken one by one as they explain documents that earlier ones do not. The weight of an entry
-is the share of toxic documents among those that have it, at equal numbers of both labels; a misspelling weighs MISSPELT,
-or nothing if a clean document of the sample has it.
+is the share of toxic documents among those that have it, at equal numbers of both labels. Misspellings are judged one by
+one: a form weighs MISSPELT of its entry, enough to decide alone for a strong entry, or nothing if a clean document of the
+sample has that form.
 
 Scoring: a hit counts its weight, QUOTED of it where its context window shows quotation (inside quotation marks, or after a
 word of reporting within CONTEXT words). Score is 1 - exp(-SLOPE * sum over distinct entries of the entry's best hit and a
@@ -32,7 +34,7 @@ from .common import held_out, settle, table
 
 TOXIC_ROWS, CLEAN_ROWS, LEAST, IMPURE, DECAY, MOST_EDITS = 2_000, 6_000, 3, 0.02, 0.25, 1
 STEM_LETTERS, STEM_SUFFIXES, EDIT_LETTERS, LEXICON, STATES = (4, 5, 6, 7, 8), 3, 5, 500, 50_000
-QUOTED, MISSPELT, CONTEXT, SLOPE, THRESHOLD = 0.2, 0.2, 4, 1.2, 0.3
+QUOTED, MISSPELT, CONTEXT, SLOPE, THRESHOLD = 0.2, 0.5, 4, 1.2, 0.3
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters that stand for others in disguised spellings, and words that report another's speech.
 DISGUISE = str.maketrans("013457@$", "oieastas")
@@ -63,42 +65,48 @@ class Automaton:
         self.number: dict[frozenset, int] = {}
         self.states, self.edges, self.stems, self.words = [], [], [], []
         self.state(frozenset())
-        self.first = self.state(self._closed({(0, 0)}))
+        self.first = self.state(self._closed({(0, "", 0)}))
 
     def state(self, members: frozenset) -> int:
         """Number of a state; with it are kept the stems that end there and the words that do, with their edits."""
         if (k := self.number.get(members)) is None:
             k = self.number[members] = len(self.states)
-            ended = [(e, edits) for node, edits in members for e in self.ends.get(node, ())]
+            ended = [(e, edits) for (node, wait), edits in members if not wait for e in self.ends.get(node, ())]
             self.states.append(members)
             self.edges.append({})
             self.stems.append([e for e, edits in ended if self.entries[e][1] and not edits])
             self.words.append([(e, edits) for e, edits in ended if not self.entries[e][1] and (not edits or len(self.entries[e][0]) >= EDIT_LETTERS)])
         return k
 
-    def _closed(self, members: set[tuple[int, int]]) -> frozenset:
-        """With letters of the entry left out; of equal nodes the fewest edits stay."""
-        best: dict[int, int] = {}
+    def _closed(self, members: set[tuple[int, str, int]]) -> frozenset:
+        """With letters of the entry left out; of equal places the fewest edits stay."""
+        best: dict[tuple[int, str], int] = {}
         todo = list(members)
         while todo:
-            node, edits = todo.pop()
-            if best.get(node, MOST_EDITS + 1) <= edits:
+            node, wait, edits = todo.pop()
+            if best.get((node, wait), MOST_EDITS + 1) <= edits:
                 continue
-            best[node] = edits
-            if edits < MOST_EDITS:
-                todo += [(child, edits + 1) for child in self.nodes[node].values()]
+            best[node, wait] = edits
+            if edits < MOST_EDITS and not wait:
+                todo += [(child, "", edits + 1) for child in self.nodes[node].values()]
         return frozenset(best.items())
 
     def step(self, state: int, letter: str) -> int:
-        after: set[tuple[int, int]] = set()
-        for node, edits in self.states[state]:
+        after: set[tuple[int, str, int]] = set()
+        for (node, wait), edits in self.states[state]:
+            if wait:
+                if wait == letter:
+                    after.add((node, "", edits))
+                continue
             for c, child in self.nodes[node].items():
                 if c == letter:
-                    after.add((child, edits))
+                    after.add((child, "", edits))
                 elif edits < MOST_EDITS:
-                    after.add((child, edits + 1))
+                    after.add((child, "", edits + 1))
+                    if (beyond := self.nodes[child].get(letter)) is not None:
+                        after.add((beyond, c, edits + 1))
             if edits < MOST_EDITS:
-                after.add((node, edits + 1))
+                after.add((node, "", edits + 1))
         to = self.edges[state][letter] = self.state(self._closed(after))
         return to
 
@@ -123,6 +131,8 @@ class Automaton:
 class Model:
     entries: list[tuple[str, bool]]
     weights: dict[tuple[int, int], float]
+    #: (entry, misspelt form) of the clean sample; as many at most as its words near an entry.
+    innocent: frozenset[tuple[int, str]] = frozenset()
 
 
 def words_of(text: str) -> Counter:
@@ -185,16 +195,19 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     entries = learn_lexicon(rows) if any(y for _, y in rows) else []
     automaton, seen = Automaton(entries), {0: Counter(), 1: Counter()}
     n_toxic, n_clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    innocent = set()
     for text, y in rows:
-        seen[y].update({m for w in words_of(text) for m in automaton.match(w)})
+        found = {(w, m) for w in words_of(text) for m in automaton.match(w)}
+        seen[y].update({m for _, m in found})
+        innocent.update((k, w) for w, (k, edits) in found if edits and not y)
     weights = {}
     for k in range(len(entries)):
-        for edits in range(MOST_EDITS + 1):
-            a, b = seen[1][k, edits] / max(1, n_toxic), seen[0][k, edits] / max(1, n_clean)
-            weight = (a + 1 / max(1, n_toxic)) / (a + b + 1 / max(1, n_toxic))
-            #: A misspelling that no clean text of the sample has still counts little: one alone is below THRESHOLD.
-            weights[k, edits] = (weight if weight >= 0.5 else 0.0) if edits == 0 else MISSPELT * (b == 0)
-    return Model(entries, weights)
+        a, b = seen[1][k, 0] / max(1, n_toxic), seen[0][k, 0] / max(1, n_clean)
+        weight = (a + 1 / max(1, n_toxic)) / (a + b + 1 / max(1, n_toxic))
+        weights[k, 0] = weight if weight >= 0.5 else 0.0
+        for edits in range(1, MOST_EDITS + 1):
+            weights[k, edits] = MISSPELT * weights[k, 0]
+    return Model(entries, weights, frozenset(innocent))
 
 
 class Scorer:
@@ -203,7 +216,7 @@ class Scorer:
 
     def hit(self, word: str) -> tuple[tuple[int, float], ...]:
         if (out := self.known.get(word)) is None:
-            out = tuple((k, w) for k, edits in self.automaton.match(word) if (w := self.model.weights[k, edits]) > 0)
+            out = tuple((k, w) for k, edits in self.automaton.match(word) if (w := self.model.weights[k, edits]) > 0 and (k, word) not in self.model.innocent)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = out

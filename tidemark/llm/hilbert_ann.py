@@ -12,7 +12,7 @@ dimensions, have neighbours that no projection tells from others, and a fixed re
 comparisons. With REACH lowered the work falls, and recall with it. A window is compared in tiles of about TILE_VECTORS
 vectors and TILE_QUERIES queries, so no task grows with the table.
 
-Keys that many vectors share (copies of one vector) are told apart by the id, so windows stay even. Queries are all rows
+Keys that many vectors share (copies of one vector) are told apart by the id, in each ordering otherwise, so windows stay even. Queries are all rows
 whose id is divisible by QUERY_EVERY. Null, zero or non-finite vectors take no part; vectors of another dimension than the
 most frequent one do not either. A repeated id is taken once, with its smallest vector. Ties go to the smaller id. Empty
 tables give an empty result. Extra columns are not read.
@@ -160,8 +160,9 @@ def nearest(vectors: DataFrame, queries, nearest: int = NEAREST, curves: int = C
 def _windows(keyed: DataFrame, blocks: int) -> DataFrame:
     """block: the window of each row among `blocks` of about equal size in its own ordering.
 
-    Bounds are quantiles of the keys; rows of one key are spread over the windows between its first and last by their id,
-    so a key that many copies share fills several windows evenly.
+    Bounds are quantiles of the keys; rows of one key are spread over the windows between its first and last by their id
+    and the curve, so a key that many copies share fills several windows evenly, and copies that are out of each other's
+    reach in one ordering are within it in others.
     """
     if blocks == 1:
         return keyed.select("curve", "id", "v", F.lit(0).alias("block"))
@@ -170,7 +171,7 @@ def _windows(keyed: DataFrame, blocks: int) -> DataFrame:
     met = keyed.join(F.broadcast(bounds), "curve")
     below = F.size(F.filter("bounds", lambda b: b < F.col("key")))
     same = F.size(F.filter("bounds", lambda b: b == F.col("key")))
-    return met.select("curve", "id", "v", (below + F.pmod(F.xxhash64("id"), same + 1)).cast("int").alias("block"))
+    return met.select("curve", "id", "v", (below + F.pmod(F.xxhash64("id", "curve"), same + 1)).cast("int").alias("block"))
 
 
 def _by_tile(nearest: int):

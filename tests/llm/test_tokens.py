@@ -3,6 +3,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,7 +26,7 @@ def same_count(text):
 def same_codes(text):
     t = Tokenizer.from_file(WORD)
     ids = t.encode(text, add_special_tokens=False).ids
-    return bpe.encode(text, WORD) == ids and bpe.decode(ids, WORD) == t.decode(ids, skip_special_tokens=False) == " ".join(w[2] for w in bpe.words_of(text, WORD))
+    return bpe.encode(text, WORD) == ids and bpe.decode(ids, WORD) == t.decode(ids, skip_special_tokens=False) == " ".join(w[1] for w in bpe.words_of(text, WORD))
 
 
 @pytest.mark.parametrize("text", TEXTS[1:])
@@ -45,6 +46,37 @@ def test_certain_cuts_hold():
         assert words.cuts(token.removesuffix(words.end)) == [token.removesuffix(words.end)]
 
 
+def test_merges_with_and_without_heap_agree():
+    words, rng = bpe.vocabulary(WORD), random.Random(4)
+    for n in (1, 2, 3, 30, 300):
+        symbols = [words.ids[c] for c in rng.choices("aeiorstln", k=n)]
+        assert bpe.merged(symbols[:], words.pairs) == bpe.merged_long(symbols[:], words.pairs)
+
+
+SPACED = ["", " ", "  ", " a", "a ", "a  b", "a\n\n  b", "a \n b", "a\xa0 b", "x <|endoftext|> y", "　a b", "한국 어 😀 and שלום", "ΑΣ ΟΔΟΣ", "e \u0301a", "\x1c \x1d", "word " * 20_000, *TEXTS[1:]]
+
+
+def test_batches_are_coded_as_their_texts():
+    """Chunks between spaces, first chunks, white space beside white space, texts beyond 6,000 characters."""
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    texts = pa.array([*SPACED, None, *SPACED])
+    counts, codes = tc.batch_counts(texts, tc.Lengths({}, BYTE), BYTE), bpe.batch_codes(texts, WORD)
+    for t, n, (raw, back) in zip(texts.to_pylist(), counts, codes, strict=True):
+        ids = word.encode(t or "", add_special_tokens=False).ids
+        assert n == len(byte.encode(t or "", add_special_tokens=False).ids) and bytes(raw) == struct.pack(f"<{len(ids)}I", *ids)
+        assert bytes(back).decode() == word.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("   \n\t\xa0'sEéß<|>endoftext12")), max_size=40), max_size=4))
+def test_batches_anywhere(texts):
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    column = pa.array(texts, pa.string())
+    ids = [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tc.batch_counts(column, tc.Lengths({}, BYTE), BYTE).tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [(bytes(a), bytes(b).decode()) for a, b in bpe.batch_codes(column, WORD)] == [(struct.pack(f"<{len(i)}I", *i), word.decode(i, skip_special_tokens=False)) for i in ids]
+
+
 def test_queries(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate([*TEXTS, *TEXTS])], "doc_id long, text string, n_tokens int")
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)

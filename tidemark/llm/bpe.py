@@ -4,9 +4,14 @@ A pair of neighbouring bytes that stands inside no token of the vocabulary can n
 cut. Each pre-token is cut at all such pairs, the fragments are merged on their own by the ranks of the merges, and their
 ids are concatenated. Fragments repeat far more often than words, so each worker keeps a bounded cache of both.
 
-Normalisation is the vocabulary's own: NFC, runs of white space to one space, lower case. Texts with code points whose
-class may differ between Unicode versions are normalised and split by the library; merging and decoding are always done
-here. Special strings are taken out of the raw text first, as the library does. Null text counts as empty.
+Normalisation is the vocabulary's own: NFC, runs of white space to one space, lower case. No token holds white space and no
+step reaches across a space, so a batch of texts is cut at its spaces and each distinct chunk is coded once. Chunks with
+code points whose class may differ between Unicode versions are normalised and split by the library; merging and decoding
+are always done here. Special strings are taken out of the raw chunk first, as the library does.
+
+Null text counts as empty, and an empty one has no ids. Texts of any length are coded whole; batches are bounded by bytes,
+caches by entries. Repeated rows and ids are coded one by one. An empty table gives an empty result. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -14,22 +19,30 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_counts import UNSURE, library
+from .common import pieces
+from .token_counts import BATCH_BYTES, UNSURE, coded, library
 
-CACHE_SIZE, MAX_KEY = 200_000, 48
+CACHE_SIZE, MAX_KEY = 300_000, 48
 SPACES = regex.compile(r"\p{White_Space}+")
 #: Fixed value: the vocabulary's split.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: The same for ASCII texts in lower case.
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+ID_BITS, NEVER = 20, 1 << 62
 
 
 @lru_cache(maxsize=1)
@@ -41,34 +54,37 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Ranks, ids and byte pairs of a BPE file whose words end in a suffix."""
+    """Ids, byte pairs and merges of a BPE file whose words end in a suffix; a merge is known by the ids of its two sides."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
+        sides = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        #: Rank and result in one number, so that the smallest one names the merge to make.
+        self.pairs = {self.ids[a] << ID_BITS | self.ids[b]: rank << ID_BITS | self.ids[a + b] for rank, (a, b) in enumerate(sides)}
         bare = lambda t: t.removesuffix(self.end) if self.end else t
         self.inside = {t[i : i + 2] for t in map(bare, self.ids) for i in range(len(t) - 1)}
         self.tokens = {i: t for t, i in self.ids.items()}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.words: dict[str, tuple[bytes, int, str]] = {}
+        self.fragments: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.letters = byte_letters()
 
     def cuts(self, piece: str) -> list[str]:
         """The fragments of a piece between its certain cuts."""
-        at = [i + 1 for i in range(len(piece) - 1) if piece[i : i + 2] not in self.inside]
-        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
+        inside = self.inside
+        at = [i for i, pair in enumerate(map(add, piece, piece[1:]), 1) if pair not in inside]
+        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)] if at else [piece]
 
-    def merge(self, fragment: str, last: bool) -> tuple[int, ...]:
-        key = (fragment, last)
+    def merge(self, fragment: str, last: bool) -> list[int]:
+        key = fragment + self.end if last else fragment
         if (known := self.fragments.get(key)) is not None:
             return known
-        symbols = list(fragment)
+        symbols = list(map(self.ids.__getitem__, fragment))
         if last:
-            symbols[-1] += self.end
-        ids = tuple(self.ids[s] for s in merged(symbols, self.ranks))
+            symbols[-1] = self.ids[fragment[-1] + self.end]
+        ids = merged(symbols, self.pairs) if len(symbols) <= MAX_KEY else merged_long(symbols, self.pairs)
         if len(fragment) <= MAX_KEY:
             if len(self.fragments) > CACHE_SIZE:
                 self.fragments.clear()
@@ -77,15 +93,16 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token, which is written in the stand-ins of its bytes."""
-        parts = self.cuts(piece)
-        return [i for k, part in enumerate(parts) for i in self.merge(part, k == len(parts) - 1)]
+        *parts, last = self.cuts(piece)
+        return [*(i for part in parts for i in self.merge(part, False)), *self.merge(last, True)]
 
-    def word(self, piece: str, spelt: bool = False) -> tuple[bytes, int, str]:
-        """(ids as little-endian 32-bit integers, their number, decoded text) of a pre-token."""
-        if (known := self.words.get(piece)) is not None and not spelt:
+    def word(self, piece: str, spelt: bool = False) -> tuple[bytes, str]:
+        """(ids as little-endian 32-bit integers, decoded text) of a pre-token. spelt: it is written in stand-ins already."""
+        if not spelt and (known := self.words.get(piece)) is not None:
             return known
-        ids = self.encode_piece(piece if spelt else "".join(map(self.letters.__getitem__, piece.encode())))
-        out = (packed(ids), len(ids), " ".join(self.tokens[i] for i in ids))
+        plain = spelt or piece.isascii() and piece.isprintable()
+        ids = self.encode_piece(piece if plain else "".join(map(self.letters.__getitem__, piece.encode())))
+        out = (packed(ids), " ".join(map(self.tokens.__getitem__, ids)))
         if len(piece) <= MAX_KEY and not spelt:
             if len(self.words) > CACHE_SIZE:
                 self.words.clear()
@@ -100,27 +117,40 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the pair of lowest rank, leftmost first, until none is left; a heap keeps long fragments near-linear."""
-    n = len(symbols)
-    if n == 1:
-        return symbols
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+def merged(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merge the pair of lowest rank, leftmost first, until none is left."""
+    find = pairs.get
+    found = [find(a << ID_BITS | b, NEVER) for a, b in pairwise(symbols)]
+    while found and (least := min(found)) != NEVER:
+        i = found.index(least)
+        new = symbols[i] = least & (1 << ID_BITS) - 1
+        del symbols[i + 1], found[i]
+        if i:
+            found[i - 1] = find(symbols[i - 1] << ID_BITS | new, NEVER)
+        if i < len(found):
+            found[i] = find(new << ID_BITS | symbols[i + 1], NEVER)
+    return symbols
+
+
+def merged_long(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """The same with a heap of pairs and linked neighbours, near-linear in the length."""
+    n, gone = len(symbols), -1
+    after, before = [*range(1, n), gone], [gone, *range(n - 1)]
+    heap = [(x, i, a, b) for i, (a, b) in enumerate(pairwise(symbols)) if (x := pairs.get(a << ID_BITS | b)) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
+        x, i, a, b = heapq.heappop(heap)
         j = after[i]
         if symbols[i] != a or j < 0 or symbols[j] != b:
             continue
-        symbols[i], symbols[j] = a + b, ""
+        symbols[i], symbols[j] = x & (1 << ID_BITS) - 1, gone
         after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-        for x, y in ((before[i], i), (i, k)):
-            if x >= 0 and y >= 0 and (r := ranks.get((symbols[x], symbols[y]))) is not None:
-                heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
-    return [s for s in symbols if s]
+        for u, v in ((before[i], i), (i, k)):
+            if u >= 0 and v >= 0 and (x := pairs.get(symbols[u] << ID_BITS | symbols[v])) is not None:
+                heapq.heappush(heap, (x, u, symbols[u], symbols[v]))
+    return [s for s in symbols if s != gone]
 
 
 @lru_cache(maxsize=2)
@@ -128,31 +158,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _pieces(text: str, path: str) -> Iterator[tuple[str, bool]]:
-    """Pre-tokens of a text without special strings; True: already in the stand-ins of its bytes."""
-    if text.isascii():
-        yield from ((p, False) for p in SPLIT.findall(SPACES.sub(" ", text).lower()))
-    elif not UNSURE.search(text):
-        yield from ((p, False) for p in SPLIT.findall(SPACES.sub(" ", unicodedata.normalize("NFC", text)).lower()))
-    else:
-        whole = library(path)[0]
-        yield from ((p, True) for p, _ in whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(text)))
-
-
-def words_of(text: str, path: str) -> list[tuple[bytes, int, str]]:
+def words_of(text: str, path: str) -> list[tuple[bytes, str]]:
     """What each pre-token and special string of a text encodes to."""
     words = vocabulary(path)
+    if "<" not in text:
+        return _words(text, words, path)
     whole, _, special = library(path)
-    out: list[tuple[bytes, int, str]] = []
+    out: list[tuple[bytes, str]] = []
     at = 0
-    found = [(m.start(), m.end()) for m in special.finditer(text)] if "<" in text else []
-    for start, end in [*found, (len(text), len(text))]:
-        if start > at:
-            out += [words.word(p, spelt) for p, spelt in _pieces(text[at:start], path)]
-        if end > start:
-            out.append((packed([whole.token_to_id(text[start:end])]), 1, text[start:end]))
-        at = end
-    return out
+    for m in special.finditer(text):
+        out += _words(text[at : m.start()], words, path)
+        out.append((packed([whole.token_to_id(m[0])]), m[0]))
+        at = m.end()
+    return out + _words(text[at:], words, path)
+
+
+def _words(text: str, words: Vocabulary, path: str) -> list[tuple[bytes, str]]:
+    """Of a text without special strings."""
+    if text.isascii():
+        return list(map(words.word, PLAIN.findall(text.lower())))
+    if not UNSURE.search(text):
+        return list(map(words.word, SPLIT.findall(SPACES.sub(" ", unicodedata.normalize("NFC", text)).lower())))
+    whole = library(path)[0]
+    return [words.word(p, True) for p, _ in whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(text))]
 
 
 def encode(text: str, path: str) -> list[int]:
@@ -168,26 +196,36 @@ def decode(ids: list[int], path: str) -> str:
     return " ".join(t for i in ids if (t := tokens.get(i) or special.id_to_token(i)) is not None)
 
 
+def batch_codes(texts: pa.Array, path: str) -> list[tuple[memoryview, memoryview]]:
+    """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
+    chunks, at, first = coded(texts)
+    words = [words_of(c, path) for c in chunks.to_pylist()]
+    raw = pa.array([b"".join([w[0] for w in x]) for x in words], pa.large_binary()).take(pa.array(at))
+    back = pa.array(["".join([" " + w[1] for w in x]).encode() for x in words], pa.large_binary()).take(pa.array(at))
+
+    def texts_of(parts: pa.Array, skipped: int) -> list[memoryview]:
+        """The parts of each text as one; the space before its first token is skipped."""
+        ends = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1]
+        bounds = ends[np.append(first, len(at))].tolist()
+        data = memoryview(parts.buffers()[2] or b"")
+        return [data[a + skipped * (a < b) : b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    return list(zip(texts_of(raw, 0), texts_of(back, 1), strict=True))
+
+
 def bpe_codes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256; with full also ids and decoded themselves."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ids, shas, decoded, decoded_shas = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text or "", path)
-                raw, back = b"".join([w[0] for w in words]), " ".join([w[2] for w in words])
-                n.append(len(raw) // 4)
-                shas.append(hashlib.sha256(raw).hexdigest())
-                decoded_shas.append(hashlib.sha256(back.encode()).hexdigest())
+        for whole in batches:
+            for b in pieces(whole, "text", BATCH_BYTES):
+                codes = batch_codes(b.column(1), path)
+                sha = lambda k: pa.array([hashlib.sha256(x[k]).hexdigest() for x in codes], pa.string())  # noqa: B023, E731
+                out, names = [b.column(0), pa.array([len(raw) // 4 for raw, _ in codes], pa.int64()), sha(0), sha(1)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    ids.append([int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)])
-                    decoded.append(back)
-            out = [b.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded_shas, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                out, names = [*out, pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(out, names)
+                    ids = pa.array([np.frombuffer(raw, "<u4").astype(np.int64) for raw, _ in codes], pa.list_(pa.int64()))
+                    out, names = [*out, ids, pa.array([bytes(back).decode() for _, back in codes], pa.string())], [*names, "ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * full

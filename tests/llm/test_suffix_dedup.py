@@ -38,8 +38,10 @@ def test_suffix_array_against_sorting(letters):
             assert prefixes[k] == next((i for i in range(5) if a[i] != b[i]), 5)
 
 
-def test_equal_strings_choose_equal_anchors(monkeypatch):
-    monkeypatch.setattr(sd, "CHUNK", 1 << 20)
+@pytest.mark.parametrize("chunk", [64, 256, 1 << 20])
+def test_equal_strings_choose_equal_anchors(monkeypatch, chunk):
+    """Texts of several chunks too."""
+    monkeypatch.setattr(sd, "CHUNK", chunk)
     rng = random.Random(9)
     part = "".join(rng.choice("abc") for _ in range(300))
     texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(150))) + part + "x" * rng.randrange(50) for _ in range(4)]
@@ -74,6 +76,36 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert sd.digest_kept(docs.limit(0), 60).count() == 0
 
 
+def test_a_line_that_stands_often_in_one_text(spark, monkeypatch):
+    """Places count, not texts: the anchor is hot though a single text has it, and columns may be named like the operator's own."""
+    monkeypatch.setattr(sd, "HOT", 20)
+    rng = random.Random(3)
+    line = "the line that stands everywhere, again and again and again. "
+    rows = [(1, "".join(line + "".join(rng.choices("abcdef ", k=30)) for _ in range(50))), (2, line + "once more")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id long, text string, row int, spans int, hash int, content string")
+    assert sorted((tuple(r) for r in sd.digest_kept(docs, 60).collect()), key=str) == brute(rows, 60)
+    assert sd.without_repeats(docs, 60, spans_col="cut").columns == [*docs.columns, "cut"]
+
+
+def test_equal_fragments_and_blocks(monkeypatch):
+    """Equal fragments fold, and blocks end between groups."""
+    monkeypatch.setattr(sd, "BLOCK", 50)
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("ab", k=rng.randrange(20, 60)))) for i in range(40)]
+    sent = []
+    for i, t in rows:
+        h, first, last = sd.anchors(t.encode(), 20, 8)
+        sent += [(k, i, a, b, t.encode()[a : b + 20]) for k, a, b in zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)]
+    sent.sort(key=lambda x: x[0])
+    batch = sd.pa.RecordBatch.from_arrays([sd.pa.array(c) for c in zip(*sent, strict=True)], ["hash", "row", "first", "last", "fragment"])
+    gone = {(r["row"], s) for out in sd._compare(20)(iter([batch])) for r in out.to_pylist() for s in range(r["first"], r["last"] + 1)}
+    where = defaultdict(set)
+    for i, t in rows:
+        for s in range(len(t) - 19):
+            where[t[s : s + 20]].add((i, s))
+    assert gone == {p for at in where.values() if len(at) > 1 for p in at}
+
+
 def test_texts_without_their_repeats(spark):
     shared = "x y z " * 40
     docs = spark.createDataFrame([(1, "é" + shared + "end"), (2, "other" + shared), (3, None)], "doc_id long, text string")

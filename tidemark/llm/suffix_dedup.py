@@ -6,16 +6,18 @@ count, the first one too, and are judged on the input; what repeated strings cov
 The work is dealt by content. In every string of LENGTH bytes one anchor is chosen, the GRAM bytes with the smallest hash
 (the rightmost of equals), so equal strings have the same anchor at the same place. An anchor owns the strings that chose
 it, which start next to each other: a fragment holds them all. Anchors that were seen at one place only, which are most,
-are dropped before any text moves; the fragments of the others meet by anchor. In blocks of fragments, suffix arrays are
-built by two-stage sorting: a suffix that is smaller than its successor is sorted directly, all others are induced by one
+are dropped before any text moves; the fragments of the others meet by anchor. Fragments that are equal as a whole are
+repeats and count once from there on. In blocks of fragments, suffix arrays are built by two-stage sorting: a suffix that is smaller than its successor is sorted directly, all others are induced by one
 scan over the buckets of first bytes; adjacent common prefixes of LENGTH or more then show what repeats. Comparing the
 first LENGTH bytes is enough for that, and separators that no UTF-8 text holds end each fragment.
 
 Skew: rows of equal texts take part once (a text of LENGTH bytes or more with a copy is repeated as a whole), and an anchor
-with HOT places or more is not gathered: each of its strings is aggregated by a 128-bit hash of the string itself.
+with HOT places or more, in one text or in many, is not gathered: each of its strings is aggregated by a 128-bit hash of
+the string itself. So no group holds more than HOT fragments of less than 2 * LENGTH bytes.
 
 Rows: null text counts as empty; a row is known by a 64-bit hash of its id and text, so repeated ids are kept apart and
-repeated rows are copies of each other. Texts shorter than LENGTH never lose anything. Extra columns are not read.
+repeated rows are copies of each other. Texts shorter than LENGTH never lose anything; long ones are read whole, CHUNK bytes
+at a time. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, row_key, settle, table
+from .common import pieces, row_key, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
 CHUNK, BLOCK = 1 << 20, 1 << 19
@@ -38,18 +41,18 @@ SEPARATOR = 0xFF
 
 
 @lru_cache(maxsize=1)
-def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and powers of an odd base and of its inverse modulo 2**64."""
+def _constants(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and `most` powers of an odd base and of its inverse modulo 2**64."""
     letters = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
-    powers = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, b, np.uint64)]))
+    powers = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(most, b, np.uint64)]))
     return letters, powers(base), powers(inverse)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each `gram` bytes of at most CHUNK bytes, which depends on these bytes alone."""
-    letters, up, down = _constants()
+    letters, up, down = _constants(CHUNK)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
@@ -168,74 +171,68 @@ def repeated_starts(fragments: list[bytes], rows: list[int], starts: list[int],
     return [(names[a >> 40], a & ((1 << 40) - 1), b & ((1 << 40) - 1)) for a, b in zip(hit[cut].tolist(), hit[np.append(cut[1:], len(hit)) - 1].tolist(), strict=True)]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _anchored(places: bool, length: int):
-    """Rows of the distinct anchors of each text: (hash, place as one number) of the first and the last, or (hash, row)."""
+def _anchored(length: int):
+    """(row, content, and hash, first and last of each anchor as lists) of the texts of `length` bytes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "row"] if places else ["hash", "place"]
-        for batch in batches:
-            held: list[list[np.ndarray]] = []
-            size = 0
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = text.encode()
-                if len(raw) < length:
+        for whole in batches:
+            for batch in pieces(whole):
+                batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column("text")), length))
+                if not batch.num_rows:
                     continue
-                h, first, _ = anchors(raw, length)
-                own, at, n = np.unique(h, return_index=True, return_counts=True)
-                if places:
-                    held.append([own.view(np.int64), np.full(len(own), row, np.int64)])
-                else:
-                    content = np.uint64(xxhash.xxh3_64_intdigest(raw))
-                    own, at = np.concatenate([own, own[n > 1]]), np.concatenate([at, np.flatnonzero(n > 1) + len(h)])
-                    held.append([own.view(np.int64), ((content ^ ((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)])
-                size += len(own)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+                found = [anchors(t.as_buffer().to_pybytes(), length) for t in batch.column("text")]
+                bounds = pa.array(np.cumsum([0, *(len(h) for h, _, _ in found)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x).view(np.int64)).cast(t)) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("content"), *lists], ["row", "content", "hash", "first", "last"])
 
     return run
 
 
-def _fragments(length: int, hot: bool):
-    """hot: one row for each string of the hot anchors, else one for each fragment of the others.
+def _wanted(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, text, hash, first, last of its anchors of one kind) of each row of a batch."""
+    column = batch.column("anchors")
+    all_, bounds = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    names = ("hash", "first", "last", "hot")
+    hashes, first, last, kind = (all_.field(n).to_numpy(zero_copy_only=False) for n in names)
+    for i, (a, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        of = a + np.flatnonzero(kind[a:e] == hot)
+        if len(of):
+            yield batch.column("row")[i].as_py(), batch.column("text")[i].as_buffer().to_pybytes(), hashes[of], first[of].astype(np.int64), last[of].astype(np.int64)
+
+
+def _strings(length: int):
+    """One row for each string of the hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row, raw, _, first, last in _wanted(whole, True):
+                for a in range(0, len(first), 500):
+                    starts = [s for x, y in zip(first[a : a + 500].tolist(), last[a : a + 500].tolist(), strict=True) for s in range(x, y + 1)]
+                    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + length]) for s in starts), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64())], ["k1", "k2", "row", "first"])
+
+    return _gathered(run)
+
+
+def _fragments(length: int):
+    """One row for each fragment of the anchors that are not hot.
 
     A fragment that stands in a text more than once is sent once; its other places are repeats already, as is its first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                wanted = np.array([x["hash"] for x in batch.column("anchors")[i].as_py() if x["hot"] == hot], np.int64).view(np.uint64)
-                if not len(wanted):
-                    continue
-                raw, row = batch.column("text")[i].as_py().encode(), batch.column("row")[i].as_py()
-                h, first, last = anchors(raw, length)
-                at = np.flatnonzero(np.isin(h, wanted))
-                if hot:
-                    starts = [s for k in at for s in range(first[k], last[k] + 1)]
-                    keys = np.array([divmod(xxhash.xxh3_128_intdigest(raw[s : s + length]), 1 << 64) for s in starts], np.uint64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64())], ["k1", "k2", "row", "first"])
-                    continue
+        for whole in batches:
+            for row, raw, hashes, first, last in _wanted(whole, False):
                 seen: dict[bytes, int] = {}
                 again: set[int] = set()
-                for k in at.tolist():
-                    if (known := seen.setdefault(raw[first[k] : last[k] + length], k)) != k:
+                cut = [raw[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                for k, fragment in enumerate(cut):
+                    if (known := seen.setdefault(fragment, k)) != k:
                         again |= {k, known}
-                out = [(int(h[k].view(np.int64)), row, int(first[k]), int(last[k]), f) for f, k in seen.items()]
-                run_: list[list[int]] = []
-                for k in sorted(again):
-                    if run_ and run_[-1][1] + 1 == first[k]:
-                        run_[-1][1] = int(last[k])
-                    else:
-                        run_.append([int(first[k]), int(last[k])])
-                out += [(row, row, x, y, None) for x, y in run_]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["hash", "row", "first", "last", "fragment"])
+                ks, more = list(seen.values()), sorted(again)
+                which = np.array([*ks, *more], np.int64)
+                keys = np.concatenate([hashes[ks], np.full(len(more), row, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(which), row, np.int64)), pa.array(first[which]), pa.array(last[which]), pa.array([*seen, *[None] * len(more)], pa.binary())], ["hash", "row", "first", "last", "fragment"])
 
     return _gathered(run)
 
@@ -261,36 +258,50 @@ def _compare(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[tuple[int, int, int]] = []
+        block: list[tuple[bytes, int, int]] = []
+        group: dict[bytes, list[tuple[int, int, int]]] = {}
+        at, size = None, 0
+
+        def close() -> None:
+            """The group at hand ends. Of equal fragments, which are repeats, one goes on, and only to be compared with others."""
+            nonlocal size
+            for places in group.values():
+                if len(places) > 1:
+                    known.extend(places)
+            if len(group) > 1:
+                block.extend((f, p[0][0], p[0][1]) for f, p in group.items())
+                size += sum(map(len, group))
+            group.clear()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            """What is known by now, and the repeats of the block at hand."""
+            nonlocal size
+            out = known + (repeated_starts(*map(list, zip(*block, strict=True)), length) if block else [])
+            known.clear(), block.clear()
+            size = 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row", "first", "last"])
 
-        def blocks() -> Iterator[list[tuple]]:
-            block, group, size = [], [], 0
-            for b in batches:
-                for x in zip(*(b.column(c).to_pylist() for c in ("hash", "row", "first", "last", "fragment")), strict=True):
-                    if x[4] is None:
-                        known.append(x[1:4])
-                        continue
-                    if group and group[-1][0] != x[0]:
-                        block += group if len(group) > 1 else []
-                        size, group = size + (sum(len(y[4]) for y in group) if len(group) > 1 else 0), []
-                        if size > BLOCK:
-                            yield block
-                            block, size = [], 0
-                    group.append(x)
-            block += group if len(group) > 1 else []
-            yield block
-
-        for block in blocks():
-            found = known + (repeated_starts([x[4] for x in block], [x[1] for x in block], [x[2] for x in block], length) if block else [])
-            known.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["row", "first", "last"])
+        for b in batches:
+            for hash_, *place, fragment in zip(*(b.column(c).to_pylist() for c in ("hash", "row", "first", "last", "fragment")), strict=True):
+                if fragment is None:
+                    known.append(tuple(place))
+                    continue
+                if hash_ != at:
+                    close()
+                    at = hash_
+                    if size > BLOCK or len(known) > 50_000:
+                        yield from found()
+                group.setdefault(fragment, []).append(tuple(place))
+        close()
+        yield from found()
 
     return run
 
 
 def _led(key: str) -> Column:
     """Part of a join key that no aggregation before the join had, so that adaptive execution may split a hot key."""
-    return F.crc32(F.col(key).cast("string").cast("binary")).alias("lead")
+    return F.pmod(F.col(key), F.lit(1009)).alias("lead")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,22 +319,23 @@ def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataF
     content = rows.select("row", F.octet_length("text").alias("n"), F.xxhash64("text").alias("c1"), F.crc32(F.col("text").cast("binary")).alias("c2")).filter(F.col("n") >= length)
     copies = content.groupBy("c1", "c2", "n").agg(F.count("*").alias("copies"), F.min("row").alias("stands")).filter("copies > 1").withColumn("lead", F.col("c2") % 1000)
     copied = settle(content.withColumn("lead", F.col("c2") % 1000).join(copies, ["c1", "c2", "n", "lead"]).select("row", F.col("n").cast("long").alias("n"), "stands"))
-    texts = rows.select("row", "text")
-    seen = texts.mapInArrow(_anchored(False, length), "hash long, place long").groupBy("hash").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n"))
+    texts = rows.select("row", F.xxhash64("text").alias("content"), "text")
+    #: One pass over the texts finds all anchors; they are kept as lists, without the texts.
+    listed = settle(texts.mapInArrow(_anchored(length), "row long, content long, hash array<long>, first array<int>, last array<int>"))
+    anchor = F.explode(F.arrays_zip("hash", "first", "last")).alias("a")
+    place = F.xxhash64("content", "a.first")
+    seen = listed.select("content", anchor).groupBy(F.col("a.hash").alias("hash")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
     shared = settle(seen.filter("a <> b").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash")))
-    del seen
-    release(rows.sparkSession)
-    places = texts.mapInArrow(_anchored(True, length), "hash long, row long").withColumn("lead", F.crc32(F.col("hash").cast("string").cast("binary")))
+    places = listed.select("row", anchor).select("row", F.col("a.hash").alias("hash"), F.col("a.first").alias("first"), F.col("a.last").alias("last")).withColumn("lead", _led("hash"))
     idle = copied.filter("row <> stands").select("row")
-    listed = settle(places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "hot")).alias("anchors")).join(idle, "row", "left_anti"))
-    del places
-    release(rows.sparkSession)
-    met = parted.join(listed, "row").dropDuplicates(["row"])
-    near = met.mapInArrow(_fragments(length, False), "hash long, row long, first long, last long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
-    strings = met.mapInArrow(_fragments(length, True), "k1 long, k2 long, row long, first long")
+    wanted = places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "hot", "first", "last")).alias("anchors"))
+    wanted = settle(wanted.join(idle, "row", "left_anti"))
+    of = lambda hot: parted.join(wanted.filter(F.exists("anchors", lambda a: a["hot"] == hot)), "row").dropDuplicates(["row"])
+    near = of(False).mapInArrow(_fragments(length), "hash long, row long, first long, last long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
+    strings = of(True).mapInArrow(_strings(length), "k1 long, k2 long, row long, first long")
     place = F.xxhash64("row", "first")
     twice = strings.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("k1", "k2", _led("k1"))
-    far = strings.withColumn("lead", F.crc32(F.col("k1").cast("string").cast("binary"))).join(twice, ["k1", "k2", "lead"]).select("row", "first", F.col("first").alias("last"))
+    far = strings.withColumn("lead", _led("k1")).join(twice, ["k1", "k2", "lead"]).select("row", "first", F.col("first").alias("last"))
     whole = copied.select("row", F.lit(0).cast("long").alias("first"), (F.col("n") - length).alias("last"))
     runs = near.union(far).join(copied.select("row"), "row", "left_anti").union(whole.distinct())
     return runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", F.col("last").alias("last")))).alias("runs")).select("row", _joined("runs", length).alias("spans"))
@@ -369,13 +381,16 @@ def digest_kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return met.select("id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of the text, and spans; characters of which a byte goes go whole."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """docs with repeated passages cut out of the text, and spans; characters of which a byte goes go whole.
+
+    docs must not have a column that is named like spans_col.
+    """
     spans = repeats(docs, length, id_col=id_col, text_col=text_col)
     rest = F.udf(lambda t, s: t if not s or t is None else kept(t.encode(), s).decode(errors="ignore"), "string", useArrow=True)
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     met = keyed.join(spans.withColumnsRenamed({"row": "__row", "spans": "__spans"}), "__row", "left")
-    return met.withColumn(text_col, rest(text_col, "__spans")).select(*docs.columns, F.col("__spans").alias("spans"))
+    return met.withColumn(text_col, rest(text_col, "__spans")).select(*docs.columns, F.col("__spans").alias(spans_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -61,9 +61,23 @@ def test_partners_share_a_signature(percent, k):
         assert bits <= len(a) + len(b) - 2 * common
 
 
-@pytest.mark.parametrize("percent,k,rounds", [(90, 3, 3), (80, 5, 0)])
-def test_against_brute_force(spark, monkeypatch, percent, k, rounds):
+@pytest.mark.parametrize("percent", [95, 90, 80, 60])
+def test_partners_at_the_limit_share_a_signature(percent):
+    """As many differences as a link allows, on either side or both, at every size."""
+    rng, bands = np.random.default_rng(percent), nj.Bands(percent, nj.WIDTH)
+    for n in [*range(2, 80), *range(80, 900, 41)]:
+        a = rng.integers(1 << 62, size=n, dtype=np.uint64)
+        for less in (n - n * percent // 100 - (n * percent % 100 > 0), 0, n // 15):
+            more = max(0, 100 * (n - less) // percent - n)
+            b = np.concatenate([a[less:], rng.integers(1 << 62, size=more, dtype=np.uint64)])
+            if less + more and 100 * (n - less) >= percent * (n + more):
+                assert np.intersect1d(nj.signatures(np.unique(a), bands), nj.signatures(np.unique(b), bands)).size, (n, less, more)
+
+
+@pytest.mark.parametrize("percent,k,rounds,hot", [(90, 3, 3, 32), (80, 5, 0, 1)])
+def test_against_brute_force(spark, monkeypatch, percent, k, rounds, hot):
     monkeypatch.setattr(nj, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(nj, "HOT", hot)
     rows = fixture(percent)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
     got = sorted(tuple(r) for r in nj.jaccard_components(docs, k, percent).collect())

@@ -6,10 +6,12 @@ A document is the set of its shingles: runs of SHINGLE words, of the text with A
 Signatures: sizes are cut into bands, each WIDTH times as long as the one before (at least 100 / percent, so that partners
 are in the same band or the next). A set takes part in its own band's instance, and in the next band's if a partner can be
 there. Two partners of an instance whose largest size is r differ in at most k = floor(2 r (100 - percent) / (100 +
-percent)) shingles. The domain of shingles is cut into k + 1 parts by their hash; partners are equal on one part at least,
-and each part of a set, hashed, is one signature, so partners share a signature. (This is the enumeration with one subset
-of each part; sharing more parts at once would take more signatures.) Sets that are equal are one class from the start, and
-only classes are compared, so no pair of copies is ever formed.
+percent)) shingles. The domain of shingles is cut by their hash into n1 > k / 2 parts, and each of these into SECOND = 3.
+Some part of the first level then holds one difference of two partners at most, so that they agree on two of its three
+parts. Signatures enumerate those subsets: for each part of the first level and each two of its three parts, a hash of the
+set's shingles there. Sets that are equal are one class from the start, and only classes are compared, so no pair of copies
+is ever formed. A task hands each class on once, as far as it remembers; a signature that many of its classes have, beyond
+the first HOT in SLICE of them, is sent aside, as it is shared for certain, so no task gets all rows of a hot signature.
 
 Candidates: a bucket of a signature is never expanded into its pairs. In each of PIVOT_ROUNDS rounds a bucket offers one of
 its classes as a pivot, each other class is compared with the pivot that it shares most signatures with, and linked classes
@@ -31,12 +33,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, release, settle, table
+from .common import connected_components, release, row_key, settle, table
 
-SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS, KNOWN = 5, 80, 1.25, 2, 16, 500_000
+SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS, KNOWN = 5, 80, 2.0, 2, 16, 100_000
+SECOND, SLICE, HOT = 3, 500, 32
 _MIX, _MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,25 +95,29 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """One for each part of the set but its smallest ones.
+    """One for each two of the three parts of each part of the first level, but those with the fewest shingles.
 
-    There are half as many parts again as k + 1. Partners agree on `parts - most` of them at least, so a set may leave out
-    one part fewer than that, and leaves out those with fewer shingles than some number: of the parts that partners agree
-    on, the largest is left out by neither. Empty parts, on which sets agree by chance, hardly ever remain.
+    A difference spoils two of three signatures of its part, or the third too if another one is beside it, so partners agree
+    on `agreed` signatures at least. A set may leave out one fewer than that, and leaves out those with fewer shingles than
+    some number: of the signatures that partners agree on, the largest is left out by neither. A few parts more than are
+    needed make room for this, so that empty signatures, on which sets agree by chance, hardly ever remain.
     """
     found = [np.zeros(0, np.uint64)]
     mixed = mix(shingles + np.uint64(77))
     for number, k, most in bands.instances(len(shingles)):
-        parts = k + 1 + (k + 1) // 2
+        firsts = (k + 2) // 2 + 1 + (k + 1) // 16
+        parts = firsts * SECOND
         part = (mixed >> np.uint64(24)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
-        held = np.diff(bounds)
-        keep = np.flatnonzero(held >= np.sort(held)[parts - most - 1])
-        projection = sums[bounds[keep + 1]] - sums[bounds[keep]]
+        held, own = np.diff(bounds).reshape(firsts, SECOND), (sums[bounds[1:]] - sums[bounds[:-1]]).reshape(firsts, SECOND)
+        held = (held.sum(axis=1, keepdims=True) - held).ravel()
+        own = (own.sum(axis=1, keepdims=True, dtype=np.uint64) - own).ravel()
+        agreed = 3 * firsts - 2 * most if most <= firsts else 2 * firsts - most
+        keep = np.flatnonzero(held >= np.partition(held, agreed - 1)[agreed - 1])
         instance = np.full(len(keep), number + 1, np.uint64) * _MIX
-        found.append(mix(projection + keep.astype(np.uint64) * _MIX2 + instance))
+        found.append(mix(own[keep] + keep.astype(np.uint64) * _MIX2 + instance))
     return np.concatenate(found)
 
 
@@ -120,57 +127,48 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
 
 
-def _per_row(size: int, rows, once: bool = False):
-    """An Arrow function over (id, text) that sends each batch's sets to `rows`, which gives columns and names.
+def _lists(columns: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *columns]).view(np.int64)))
 
-    once: a set that the task has met is left out, as far as KNOWN of them are remembered; copies are many, and fold here.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
-                sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
-                if once:
-                    new = [i for i, x in enumerate(sets) if len(x) and (h := set_hash(x)) not in known and not known.add(h)]
-                    part, sets = part.take(pa.array(new, pa.int64())), [sets[i] for i in new]
-                    if len(known) > KNOWN:
-                        known.clear()
-                if part.num_rows:
-                    yield rows(part, sets)
-
-    return run
-
-
-def _classes(size: int):
-    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
-
-    return _per_row(size, rows)
 
+def _apart(found: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The signatures of some classes, and apart from them what comes after the first HOT of one signature."""
+    all_ = np.concatenate([np.zeros(0, np.uint64), *found])
+    order = np.argsort(all_, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], all_[order][1:] != all_[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    hot = np.zeros(len(all_), bool)
+    hot[order[np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order)))) >= HOT]] = True
+    hot = np.split(hot, np.cumsum([len(x) for x in found])[:-1])
+    return [x[~h] for x, h in zip(found, hot, strict=True)], [x[h] for x, h in zip(found, hot, strict=True)]
 
-def _signed(size: int, bands: Bands):
-    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        found = [signatures(s, bands) for s in sets]
-        nodes = np.repeat(np.array([set_hash(s) for s in sets], np.int64), [len(x) for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["sig", "node"])
 
-    return _per_row(size, rows, once=True)
+def _parsed(size: int, bands: Bands):
+    """(id, row, n, node, and the signatures of a class that the task has not met) of each row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for whole in batches:
+            for s in range(0, whole.num_rows, SLICE):
+                b = whole.slice(s, SLICE)
+                sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
+                nodes = [set_hash(x) if len(x) else None for x in sets]
+                if len(known) > KNOWN:
+                    known.clear()
+                none = np.zeros(0, np.uint64)
+                plain, hot = _apart([none if h is None or h in known or known.add(h) else signatures(x, bands) for x, h in zip(sets, nodes, strict=True)])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(plain), _lists(hot)], ["id", "row", "n", "node", "sigs", "hot"])
 
-def _named(size: int):
-    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), b.column("text")], ["node", "text"])
-
-    return _per_row(size, rows, once=True)
+    return run
 
 
 def _described(size: int):
-    def rows(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tolist() for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "set"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, SLICE):
+                sets = [shingle_set(t, size) for t in whole.slice(s, SLICE).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists([sketch(x).view(np.uint64) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "sketch", "set"])
 
-    return _per_row(size, rows)
+    return run
 
 
 def _linked(percent: int):
@@ -196,38 +194,49 @@ def _may_link(percent: int) -> Column:
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links lead to, its own included).
 
+    Texts are read once for their signatures, and once more where a class shares one. Disk: the lists of signatures and one
+    exchange of them are the most that stands at a time, which is why shuffles are released in between.
+
     Ids may be of any type that has an order, such as a struct that tells rows of a repeated id apart.
     """
     spark = docs.sparkSession
     bands = Bands(percent, width)
-    given = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = given.mapInArrow(_classes(shingle), f"id {id_type}, n long, node long")
-    buckets = _buckets(given, shingle, bands)
+    named = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = named.withColumn("row", row_key("id"))
+    parsed = settle(given.mapInArrow(_parsed(shingle, bands), f"id {id_type}, row long, n long, node long, sigs array<long>, hot array<long>"))
+    buckets = _buckets(parsed)
     release(spark)
-    nodes = _nodes(given, buckets, shingle)
+    nodes = _nodes(given, parsed, buckets, shingle)
     release(spark)
     components = _contract(buckets, nodes, percent)
+    rows = parsed.select("id", "n", "node")
     named = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     labelled = named.join(components, "node").groupBy("component").agg(F.min("least").alias("least"))
     members = components.join(labelled, "component").select("node", F.col("least").alias("linked"))
-    own = settle(named.join(members, "node", "left").select("node", F.coalesce("linked", "least").alias("component_id"), F.crc32(F.col("node").cast("string").cast("binary")).alias("lead")))
-    keyed = rows.withColumn("lead", F.crc32(F.col("node").cast("string").cast("binary")))
+    own = settle(named.join(members, "node", "left").select("node", F.coalesce("linked", "least").alias("component_id"), _led("node")))
+    keyed = rows.withColumn("lead", _led("node"))
     return keyed.join(own, ["node", "lead"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _buckets(given: DataFrame, shingle: int, bands: Bands) -> DataFrame:
+def _led(key: str) -> Column:
+    """Part of a join key that no aggregation before or after the join has, so that adaptive execution may split a hot key."""
+    return F.pmod(F.col(key), F.lit(1009)).alias("lead")
+
+
+def _buckets(parsed: DataFrame) -> DataFrame:
     """(sig, node) of the signatures that two classes or more have."""
-    signed = given.mapInArrow(_signed(shingle, bands), "sig long, node long")
-    shared = settle(signed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("sig"))
-    release(given.sparkSession)
-    return settle(signed.join(shared, "sig", "left_semi").distinct())
+    signed = parsed.select(F.explode("sigs").alias("sig"), "node")
+    alike = Window.partitionBy("sig")
+    shared = signed.select("sig", "node", F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")).filter("low <> high").select("sig", "node")
+    return settle(shared.union(parsed.select(F.explode("hot").alias("sig"), "node")))
 
 
-def _nodes(given: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, sketch, set) of the classes in buckets."""
-    named = given.mapInArrow(_named(shingle), "node long, text string")
-    met = named.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    return settle(met.mapInArrow(_described(shingle), "node long, n long, sketch array<long>, set binary"))
+def _nodes(given: DataFrame, parsed: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, sketch, set) of the classes in buckets, each from one row of its class."""
+    met = buckets.select("node").distinct()
+    chosen = parsed.filter("size(sigs) + size(hot) > 0").groupBy("node").agg(F.min("row").alias("row")).join(met.hint("merge"), "node", "left_semi").select("row")
+    texts = given.select("row", "text").join(chosen.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
+    return settle(texts.mapInArrow(_described(shingle), "node long, n long, sketch array<long>, set binary"))
 
 
 def _contract(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +248,7 @@ def _contract(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         at = buckets.join(components.hint("merge"), "node")
         mixed = at.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"), F.col("component").alias("held"))).alias("p")).filter("low <> high").select("sig", "p.pivot", "p.held")
         if turn < PIVOT_ROUNDS:
-            met = at.join(mixed.hint("merge"), "sig").filter("component <> held").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
+            met = at.withColumn("lead", _led("sig")).join(mixed.withColumn("lead", _led("sig")).hint("merge"), ["sig", "lead"]).filter("component <> held").groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("shared"))
             met = _described_pairs(met, light, percent)
             met = met.join(_either(tested).hint("merge"), ["x", "y"], "left_anti") if tested else met
             best = met.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", "best.y")

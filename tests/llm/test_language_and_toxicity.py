@@ -1,3 +1,6 @@
+import random
+import zlib
+from collections import Counter
 from itertools import product
 
 import pytest
@@ -41,6 +44,40 @@ def test_prediction_is_the_smallest_distance():
     assert batch == langs
 
 
+def plain_prediction(text, samples):
+    """Out-of-place distances written out; profiles and documents as lists of grams in the order of their ranks."""
+    letter = {c: k for k, (_, c) in enumerate(sorted((-n, c) for c, n in Counter(c for t in sum(samples.values(), []) for c in t.lower() if c.isalpha()).items()))}
+    code = lambda g: (len(g), [letter.get(c, 250) + 1 if c != " " else 0 for c in g])
+    ranked = lambda t, most: [g for g, _ in sorted(plain_grams(t, 0).items(), key=lambda x: (-x[1], code(x[0])))][:most]
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0
+    own, best = ranked(text, li.DOC_GRAMS), None
+    for lang in sorted(samples):
+        profile = ranked(" ".join(samples[lang]), li.PROFILE_GRAMS)
+        away = sum(abs(profile.index(g) - k) if g in profile else li.PROFILE_GRAMS for k, g in enumerate(own))
+        best = min(best or (away, lang), (away, lang))
+    return best[1], 1 - best[0] / (li.PROFILE_GRAMS * len(own))
+
+
+def test_language_query_against_a_plain_one(spark):
+    """The query's own profiles, learnt from all rows that are not held out, by plain counting; more languages than few."""
+    rng = random.Random(2)
+    names = [f"l{k:03d}" for k in range(230)]
+    words = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüñ", k=rng.randint(2, 6))) for _ in range(8)] for lang in names}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(0, 9))), lang) for i, lang in enumerate(rng.choices(names, k=700))]
+    rows += [(900, None, "l000"), (901, "", "l001"), (902, "12 !", None), (903, "\U00030001", None), (3, rows[3][1], rows[3][2])]
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    samples = {}
+    for i, t, lang in sorted(set(rows[:701]), key=str):
+        if lang and t is not None and not held(i):
+            samples.setdefault(lang, []).append(t)
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in li.identify(docs).collect())
+    want = sorted((i, held(i), *((p, round(s, 9)) for p, s in [plain_prediction(t, samples)]).__next__()) for i, t, _ in rows)
+    assert len(samples) > 200 and [g for g in got if g[0] < 900] == [w for w in want if w[0] < 900]
+    assert {g[0]: g[2] for g in got if g[0] >= 900 and g[0] < 903} == {900: "und", 901: "und", 902: "und"} and [g[2] for g in got if g[0] == 903] != ["und"]
+
+
 def test_language_query(spark):
     docs = table(spark, SF, "documents")
     got = li.query(spark, SF).join(docs, "doc_id")

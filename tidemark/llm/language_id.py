@@ -7,9 +7,11 @@ n-gram that it lacks. The smallest distance wins, ties go to the smaller name; s
 largest possible one.
 
 Profiles are fitted on a bounded sample of the rows to learn from: at most PER_LANG documents of each language, in the order
-of a hash of their id, and CHARS characters in all of them but for the first; at most LANGS languages, those with most rows.
-Whole texts are read, both in fitting and in prediction. A null or empty text, or one without a letter, is `und` with score
-0. Extra columns are not read.
+of a hash of their id, and CHARS characters in all of them but for the first. Every language is learnt, however many there
+are: n-grams are counted on the executors, and only PROFILE_GRAMS of each language come to the driver. Whole texts are read,
+both in fitting and in prediction. A null or empty text, or one without a letter, is `und` with score 0. Repeated rows
+and ids are predicted one by one. An empty table gives an empty result, and one without labelled rows predicts `und` only.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out, pieces, settle, table
 
-PER_LANG, CHARS, LANGS = 300, 2_000_000, 200
+PER_LANG, CHARS, BROADCAST_ROWS = 300, 2_000_000, 100_000
 DOC_GRAMS, PROFILE_GRAMS, ALPHABET = 300, 400, 250
 UNKNOWN = "und"
 _SHIFT = 26
@@ -41,19 +43,28 @@ class Profiles:
     ranks: np.ndarray
 
 
-def letters_of(texts: list[str]) -> np.ndarray:
-    """Codes 1.. for the most frequent letters of the texts, ALPHABET + 1 for other letters, 0 for all else."""
+def letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, how often) of the letters of lower-cased texts."""
     points, n = np.unique(np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32), return_counts=True)
-    found = sorted(((-int(k), int(p)) for p, k in zip(points, n, strict=True) if chr(p).isalpha()))
+    letters = np.array([chr(p).isalpha() for p in points], bool)
+    return points[letters], n[letters]
+
+
+def alphabet_of(points: list[int]) -> np.ndarray:
+    """Codes 1.. for these letters, the most frequent first, ALPHABET + 1 for other letters, 0 for all else."""
     codes = np.zeros(0x110000, np.uint8)
-    codes[[p for p in range(0x30000) if chr(p).isalpha()]] = ALPHABET + 1
-    for code, (_, p) in enumerate(found[:ALPHABET], 1):
-        codes[p] = code
+    codes[[p for p in range(0x110000) if chr(p).isalpha()]] = ALPHABET + 1
+    codes[points[:ALPHABET]] = np.arange(1, min(ALPHABET, len(points)) + 1)
     return codes
 
 
-def ranked_grams(texts: list[str], alphabet: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, gram, rank) of the `most` most frequent grams of each text; ties go to the smaller gram."""
+def letters_of(texts: list[str]) -> np.ndarray:
+    points, n = letter_counts(texts)
+    return alphabet_of(points[np.lexsort((points, -n))].tolist())
+
+
+def counted_grams(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram, how often) of all grams of each text."""
     lowered = [t.lower() + " " for t in texts]
     points = np.frombuffer(("".join([" ", *lowered])).encode("utf-32-le"), np.uint32)
     codes = alphabet[points].astype(np.int64)
@@ -74,7 +85,12 @@ def ranked_grams(texts: list[str], alphabet: np.ndarray, most: int) -> tuple[np.
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(keys)))
-    text, gram = keys[first] >> _SHIFT, keys[first] & ((1 << _SHIFT) - 1)
+    return keys[first] >> _SHIFT, keys[first] & ((1 << _SHIFT) - 1), n
+
+
+def ranked_grams(texts: list[str], alphabet: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, gram, rank) of the `most` most frequent grams of each text; ties go to the smaller gram."""
+    text, gram, n = counted_grams(texts, alphabet)
     order = np.lexsort((gram, -n, text))
     text, gram = text[order], gram[order]
     rank = np.arange(len(text)) - np.searchsorted(text, text)
@@ -83,13 +99,18 @@ def ranked_grams(texts: list[str], alphabet: np.ndarray, most: int) -> tuple[np.
 
 
 def fit_profiles(samples: dict[str, list[str]]) -> Profiles:
-    langs = sorted(samples)
+    """From texts at hand."""
     alphabet = letters_of([t for texts in samples.values() for t in texts])
-    lists = [ranked_grams([" ".join(samples[lang])], alphabet, PROFILE_GRAMS)[1] for lang in langs]
-    grams = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    return profiles_of(alphabet, {lang: ranked_grams([" ".join(texts)], alphabet, PROFILE_GRAMS)[1] for lang, texts in samples.items()})
+
+
+def profiles_of(alphabet: np.ndarray, lists: dict[str, np.ndarray]) -> Profiles:
+    """lists: of each language its grams in the order of their ranks."""
+    langs = sorted(lists)
+    grams = np.unique(np.concatenate([lists[x] for x in langs])) if langs else np.zeros(0, np.int64)
     ranks = np.full((len(grams) + 1, max(1, len(langs))), PROFILE_GRAMS, np.int32)
-    for k, own in enumerate(lists):
-        ranks[np.searchsorted(grams, own), k] = np.arange(len(own))
+    for k, lang in enumerate(langs):
+        ranks[np.searchsorted(grams, lists[lang]), k] = np.arange(len(lists[lang]))
     return Profiles(langs, alphabet, grams, ranks)
 
 
@@ -113,35 +134,56 @@ def predict(texts: list[str], profiles: Profiles) -> tuple[list[str], np.ndarray
 
 
 def learn(docs: DataFrame, learn_from: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Profiles:
-    """Only ids and lengths are ranked; the texts of the chosen rows are bounded by PER_LANG, CHARS and LANGS."""
+    """Profiles of all languages. Only ids and lengths are ranked, and PER_LANG and CHARS bound the texts of a language."""
     rows = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "chars", "hash")
     first = rows.select("id", "lang", F.length("text").alias("chars"), F.xxhash64("text").alias("hash")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANG)
     run = F.sum("chars").over(Window.partitionBy("lang").orderBy("k"))
-    chosen = first.withColumn("run", run).filter((F.col("run") <= CHARS) | (F.col("k") == 1)).select("id", "lang", "hash").distinct()
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
-    chosen = chosen.join(F.broadcast(langs), "lang", "left_semi")  # LANGS rows at most
-    keys = settle(chosen)  # PER_LANG * LANGS rows at most
-    texts = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(keys), ["id", "lang", "hash"], "left_semi").dropDuplicates(["id", "lang", "hash"])
-    samples: dict[str, list[str]] = {}
-    for r in texts.select("lang", "text").orderBy("lang", F.xxhash64("id"), "id", "hash").collect():
-        samples.setdefault(r.lang, []).append(r.text)
-    return fit_profiles(samples)
-
-
-def language_id(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The columns of docs with lang_pred and score; docs must not have columns of these names."""
+    keys = settle(first.withColumn("run", run).filter((F.col("run") <= CHARS) | (F.col("k") == 1)).select("id", "lang", "hash").distinct())
+    small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
+    texts = rows.withColumn("hash", F.xxhash64("text")).join(small, ["id", "lang", "hash"], "left_semi").dropDuplicates(["id", "lang", "hash"])
+    sample = settle(texts.select("lang", "text"))
+    letters = sample.mapInArrow(_letters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(ALPHABET)
+    alphabet = alphabet_of([r.point for r in letters.collect()])
+    sent = docs.sparkSession.sparkContext.broadcast(alphabet)  # 1.1 MB of codes
+    grams = sample.mapInArrow(_grams(sent), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    lists: dict[str, list[int]] = {}
+    for r in grams.withColumn("k", rank).filter(F.col("k") <= PROFILE_GRAMS).select("lang", "gram", "k").orderBy("lang", "k").collect():  # PROFILE_GRAMS a language
+        lists.setdefault(r.lang, []).append(r.gram)
+    return profiles_of(alphabet, {lang: np.array(x, np.int64) for lang, x in lists.items()})
+
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in pieces(whole, "text", 1_000_000):
+            points, n = letter_counts(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int64)), pa.array(n.astype(np.int64))], ["point", "n"])
+
+
+def _grams(alphabet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text", 1_000_000):
+                text, gram, n = counted_grams(b.column("text").to_pylist(), alphabet.value)
+                yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(text)), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+    return run
+
+
+def language_id(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns of docs with the prediction and its score; docs must not have columns of these two names."""
     names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # 1.1 MB of codes, and PROFILE_GRAMS * LANGS grams at most
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # 1.1 MB of codes, and PROFILE_GRAMS grams a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, text_col, 1_000_000):
                 langs, score = predict([t or "" for t in b.column(text_col).to_pylist()], sent.value)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, pred_col, score_col])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

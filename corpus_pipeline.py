@@ -25,7 +25,7 @@ SHINGLE, PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a letter, or without text, go; no other text is rejected for being unusual."""
     profiles = learn(docs, ~held_out(F.col("doc_id")))
-    return language_id(docs, profiles).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return language_id(docs, profiles, pred_col="__lang", score_col="__score").filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that stand twice or more go from all texts; a text of nothing else goes whole."""
-    cut = without_repeats(docs)
-    some = F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cut = without_repeats(docs, spans_col="__cut")
+    some = F.col("__cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.filter(some).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces
-from .token_counts import BATCH_BYTES, UNSURE, coded, library
+from .token_counts import BATCH_BYTES, UNSURE, byte_letters, coded, library
 
 CACHE_SIZE, MAX_KEY = 300_000, 48
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -45,14 +45,6 @@ PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]
 ID_BITS, NEVER = 20, 1 << 62
 
 
-@lru_cache(maxsize=1)
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte: printable Latin-1 as itself, the rest from U+0100 on, in order."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    extra = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
-
-
 class Vocabulary:
     """Ids, byte pairs and merges of a BPE file whose words end in a suffix; a merge is known by the ids of its two sides."""
 
@@ -163,7 +155,7 @@ def words_of(text: str, path: str) -> list[tuple[bytes, str]]:
     words = vocabulary(path)
     if "<" not in text:
         return _words(text, words, path)
-    whole, _, special = library(path)
+    whole, special = library(path)
     out: list[tuple[bytes, str]] = []
     at = 0
     for m in special.finditer(text):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: One row in four of the labelled tables is never learnt from: crc32(id as text) mod 4 equals this.
 HELD_OUT = 2
+ARROW_BYTES, _BATCHES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute df once, in the folder that spark.checkpoint.dir names, and cut its lineage there.
 
     Executors share that folder, so the copy outlives any of them. Only where the setting is missing, as in
-    tests, a temporary folder takes its place.
+    tests, a temporary folder takes its place. From here on Arrow batches hold ARROW_BYTES at most, as Python workers share an
+    executor's memory with its heap.
     """
-    context = df.sparkSession.sparkContext
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    conf.set(_BATCHES, str(ARROW_BYTES))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
@@ -63,6 +66,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
         held += sizes[i]
     if start < n:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers that wait for their next task hold what they have not given back
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import pieces, row_key, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
-CHUNK, BLOCK = 1 << 20, 1 << 19
+CHUNK, BLOCK = 1 << 18, 1 << 18
 SEPARATOR = 0xFF
 
 
@@ -176,7 +176,7 @@ def _anchored(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most=1_000_000):
                 batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column("text")), length))
                 if not batch.num_rows:
                     continue

@@ -30,26 +30,38 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-TABLE_SIZE, SUMMARY_SIZE, SUMMARY_MOST, MAX_KEY, CACHE_SIZE = 32_768, 20_000, 250_000, 48, 600_000
+TABLE_SIZE, SUMMARY_SIZE, SUMMARY_MOST, MAX_KEY, CACHE_SIZE = 32_768, 20_000, 250_000, 48, 200_000
 #: The split of byte-level BPE, with white space as the Unicode property.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Code points outside these blocks may have another class in the library's version of Unicode; such texts go to the library whole.
 UNSURE = regex.compile("[^\u0000-ɏͰ-ͷΆ-ΡΤ-҂Ҋ-ԧ -⁯₠-₵℀-⅏←-⏳　-〩ぁ-ゖァ-ヿ一-龥]")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte: printable Latin-1 as itself, the rest from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    extra = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
 def library(path: str):
-    """The tokenizer and its model with one pre-token a text; specials: the strings that the library takes out first."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    whole, single = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    for t in (whole, single):
-        t.no_truncation()
-        t.no_padding()
-    single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    single.encode_special_tokens = True
+    """The tokenizer, and the strings that it takes out first."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
     specials = [t.content for t in whole.get_added_tokens_decoder().values()]
-    return whole, single, regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))))
+    return whole, regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """The number of tokens of one pre-token, by the library's model."""
+    model, letter = library(path)[0].model, byte_letters().__getitem__
+    return lambda piece: len(model.tokenize("".join(map(letter, piece.encode()))))
 
 
 #: The same split where it may be written with the classes of `re`, which is faster: texts without the characters of UNLIKE.
@@ -62,16 +74,20 @@ def split(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Length of each pre-token: the frequent ones that were sent along, then those that this worker has met."""
+    """Length of each pre-token: the frequent ones that were sent along, then those that this worker has met.
+
+    The cache has two generations of CACHE_SIZE entries; what is not asked for while the newer one fills is forgotten.
+    """
 
     def __init__(self, frequent: dict[str, int], path: str) -> None:
         super().__init__(frequent)
-        self.frequent, self.single = frequent, library(path)[1]
+        self.frequent, self.older, self.encode = frequent, {}, encoder(path)
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.single.encode(piece, add_special_tokens=False).ids)
+        n = self.older.get(piece) or self.encode(piece)
         if len(piece) <= MAX_KEY:
             if len(self) > len(self.frequent) + CACHE_SIZE:
+                self.older = {k: v for k, v in self.items() if k not in self.frequent}
                 self.clear()
                 self.update(self.frequent)
             self[piece] = n
@@ -79,7 +95,7 @@ class Lengths(dict):
 
 
 def count_tokens(text: str, lengths: Lengths, path: str) -> int:
-    whole, _, special = library(path)
+    whole, special = library(path)
     if not text:
         return 0
     if not text.isascii() and UNSURE.search(text):
@@ -92,7 +108,7 @@ def count_tokens(text: str, lengths: Lengths, path: str) -> int:
 
 #: Two code points side by side that are white space in any version of Unicode.
 BESIDE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -157,8 +173,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", table_size: int = TABLE_SIZE) -> dict[str, int]:
     summaries = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_summary, "piece string, n long")
     top = summaries.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size).collect()
-    single = library(path)[1]
-    return {r.piece: len(single.encode(r.piece, add_special_tokens=False).ids) for r in top}
+    return {r.piece: encoder(path)(r.piece) for r in top}
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, keep: tuple[str, ...] = (), table_size: int = TABLE_SIZE) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_key, settle, table
+from .common import pieces, release, row_key, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
 CHUNK, BLOCK = 1 << 18, 1 << 18
@@ -326,10 +326,14 @@ def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataF
     place = F.xxhash64("content", "a.first")
     seen = listed.select("content", anchor).groupBy(F.col("a.hash").alias("hash")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
     shared = settle(seen.filter("a <> b").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash")))
+    del seen
+    release(rows.sparkSession)
     places = listed.select("row", anchor).select("row", F.col("a.hash").alias("hash"), F.col("a.first").alias("first"), F.col("a.last").alias("last")).withColumn("lead", _led("hash"))
     idle = copied.filter("row <> stands").select("row")
     wanted = places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "hot", "first", "last")).alias("anchors"))
     wanted = settle(wanted.join(idle, "row", "left_anti"))
+    del listed, places
+    release(rows.sparkSession)
     of = lambda hot: parted.join(wanted.filter(F.exists("anchors", lambda a: a["hot"] == hot)), "row").dropDuplicates(["row"])
     near = of(False).mapInArrow(_fragments(length), "hash long, row long, first long, last long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
     strings = of(True).mapInArrow(_strings(length), "k1 long, k2 long, row long, first long")

@@ -6,14 +6,14 @@ count, the first one too, and are judged on the input; what repeated strings cov
 The work is dealt by content. In every string of LENGTH bytes one anchor is chosen, the GRAM bytes with the smallest hash
 (the rightmost of equals), so equal strings have the same anchor at the same place. An anchor owns the strings that chose
 it, which start next to each other: a fragment holds them all. Anchors that were seen at one place only, which are most,
-are dropped before any text moves; the fragments of the others meet by anchor. Fragments that are equal as a whole are
-repeats and count once from there on. In blocks of fragments, suffix arrays are built by two-stage sorting: a suffix that is smaller than its successor is sorted directly, all others are induced by one
+are dropped before any text moves. Fragments that are equal as a whole, by their anchor and a 64-bit hash, are repeats and
+count once from there on; the different fragments of an anchor meet. In blocks of these, suffix arrays are built by two-stage sorting: a suffix that is smaller than its successor is sorted directly, all others are induced by one
 scan over the buckets of first bytes; adjacent common prefixes of LENGTH or more then show what repeats. Comparing the
 first LENGTH bytes is enough for that, and separators that no UTF-8 text holds end each fragment.
 
 Skew: rows of equal texts take part once (a text of LENGTH bytes or more with a copy is repeated as a whole), and an anchor
-with HOT places or more, in one text or in many, is not gathered: each of its strings is aggregated by a 128-bit hash of
-the string itself. So no group holds more than HOT fragments of less than 2 * LENGTH bytes.
+with HOT different fragments or more is not gathered: each of their strings is aggregated by a 128-bit hash of the string
+itself. So no group holds more than HOT fragments of less than 2 * LENGTH bytes.
 
 Rows: null text counts as empty; a row is known by a 64-bit hash of its id and text, so repeated ids are kept apart and
 repeated rows are copies of each other. Texts shorter than LENGTH never lose anything; long ones are read whole, CHUNK bytes
@@ -172,7 +172,7 @@ def repeated_starts(fragments: list[bytes], rows: list[int], starts: list[int],
 
 
 def _anchored(length: int):
-    """(row, content, and hash, first and last of each anchor as lists) of the texts of `length` bytes or more."""
+    """(row, content, and of each anchor hash, hash of its fragment, first and last as lists) of the texts of `length` bytes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,10 +180,15 @@ def _anchored(length: int):
                 batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column("text")), length))
                 if not batch.num_rows:
                     continue
-                found = [anchors(t.as_buffer().to_pybytes(), length) for t in batch.column("text")]
-                bounds = pa.array(np.cumsum([0, *(len(h) for h, _, _ in found)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x).view(np.int64)).cast(t)) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("content"), *lists], ["row", "content", "hash", "first", "last"])
+                found = []
+                for t in batch.column("text"):
+                    raw = t.as_buffer().to_pybytes()
+                    h, first, last = anchors(raw, length)
+                    frag = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
+                    found.append((h, frag, first, last))
+                bounds = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x).view(np.int64)).cast(t)) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("content"), *lists], ["row", "content", "hash", "frag", "first", "last"])
 
     return run
 
@@ -215,24 +220,13 @@ def _strings(length: int):
 
 
 def _fragments(length: int):
-    """One row for each fragment of the anchors that are not hot.
-
-    A fragment that stands in a text more than once is sent once; its other places are repeats already, as is its first.
-    """
+    """One row for each fragment of the anchors that are not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for row, raw, hashes, first, last in _wanted(whole, False):
-                seen: dict[bytes, int] = {}
-                again: set[int] = set()
                 cut = [raw[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                for k, fragment in enumerate(cut):
-                    if (known := seen.setdefault(fragment, k)) != k:
-                        again |= {k, known}
-                ks, more = list(seen.values()), sorted(again)
-                which = np.array([*ks, *more], np.int64)
-                keys = np.concatenate([hashes[ks], np.full(len(more), row, np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(which), row, np.int64)), pa.array(first[which]), pa.array(last[which]), pa.array([*seen, *[None] * len(more)], pa.binary())], ["hash", "row", "first", "last", "fragment"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(cut), row, np.int64)), pa.array(first), pa.array(last), pa.array(cut, pa.binary())], ["hash", "row", "first", "last", "fragment"])
 
     return _gathered(run)
 
@@ -284,9 +278,6 @@ def _compare(length: int):
 
         for b in batches:
             for hash_, *place, fragment in zip(*(b.column(c).to_pylist() for c in ("hash", "row", "first", "last", "fragment")), strict=True):
-                if fragment is None:
-                    known.append(tuple(place))
-                    continue
                 if hash_ != at:
                     close()
                     at = hash_
@@ -321,19 +312,23 @@ def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataF
     copied = settle(content.withColumn("lead", F.col("c2") % 1000).join(copies, ["c1", "c2", "n", "lead"]).select("row", F.col("n").cast("long").alias("n"), "stands"))
     texts = rows.select("row", F.xxhash64("text").alias("content"), "text")
     #: One pass over the texts finds all anchors; they are kept as lists, without the texts.
-    listed = settle(texts.mapInArrow(_anchored(length), "row long, content long, hash array<long>, first array<int>, last array<int>"))
-    anchor = F.explode(F.arrays_zip("hash", "first", "last")).alias("a")
-    place = F.xxhash64("content", "a.first")
-    seen = listed.select("content", anchor).groupBy(F.col("a.hash").alias("hash")).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
-    shared = settle(seen.filter("a <> b").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash")))
+    listed = settle(texts.mapInArrow(_anchored(length), "row long, content long, hash array<long>, frag array<long>, first array<int>, last array<int>"))
+    place = F.xxhash64("content", "a.first").alias("place")
+    every = listed.select("row", "content", F.explode(F.arrays_zip("hash", "frag", "first", "last")).alias("a"))
+    seen = every.groupBy(F.col("a.hash").alias("hash")).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    shared = settle(seen.filter("low <> high").select("hash", _led("hash")))
     del seen
     release(rows.sparkSession)
-    places = listed.select("row", anchor).select("row", F.col("a.hash").alias("hash"), F.col("a.first").alias("first"), F.col("a.last").alias("last")).withColumn("lead", _led("hash"))
-    idle = copied.filter("row <> stands").select("row")
-    wanted = places.join(shared, ["hash", "lead"]).groupBy("row").agg(F.collect_set(F.struct("hash", "hot", "first", "last")).alias("anchors"))
-    wanted = settle(wanted.join(idle, "row", "left_anti"))
-    del listed, places
+    places = settle(every.select("row", "a.hash", "a.frag", "a.first", "a.last", place, _led("a.hash")).join(shared, ["hash", "lead"]).drop("lead"))
+    del listed, every, shared
     release(rows.sparkSession)
+    classes = places.groupBy("hash", "frag").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.min(F.struct("row", "first", "last")).alias("one"))
+    classes = settle(classes.select("hash", "frag", (F.col("low") != F.col("high")).alias("twice"), "one.*"))
+    same = places.withColumn("lead", _led("frag")).join(classes.filter("twice").select("hash", "frag", _led("frag")), ["hash", "frag", "lead"])
+    same = same.select("row", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    many = classes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", (F.col("n") >= hot).alias("hot"), _led("hash"))
+    wanted = classes.withColumn("lead", _led("hash")).join(many, ["hash", "lead"])
+    wanted = settle(wanted.groupBy("row").agg(F.collect_set(F.struct("hash", "hot", "first", "last")).alias("anchors")))
     of = lambda hot: parted.join(wanted.filter(F.exists("anchors", lambda a: a["hot"] == hot)), "row").dropDuplicates(["row"])
     near = of(False).mapInArrow(_fragments(length), "hash long, row long, first long, last long, fragment binary").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(length), "row long, first long, last long")
     strings = of(True).mapInArrow(_strings(length), "k1 long, k2 long, row long, first long")
@@ -341,7 +336,7 @@ def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataF
     twice = strings.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("k1", "k2", _led("k1"))
     far = strings.withColumn("lead", _led("k1")).join(twice, ["k1", "k2", "lead"]).select("row", "first", F.col("first").alias("last"))
     whole = copied.select("row", F.lit(0).cast("long").alias("first"), (F.col("n") - length).alias("last"))
-    runs = near.union(far).join(copied.select("row"), "row", "left_anti").union(whole.distinct())
+    runs = near.union(far).union(same).join(copied.select("row"), "row", "left_anti").union(whole.distinct())
     return runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", F.col("last").alias("last")))).alias("runs")).select("row", _joined("runs", length).alias("spans"))
 
 

@@ -137,12 +137,28 @@ def test_misspelt_markers_decide_alone():
 def test_toxicity_query(spark):
     got = tx.query(spark, SF).join(table(spark, SF, "labels"), "doc_id")
     n = {(r.held_out, r.toxic, r.predicted): r["count"] for r in got.groupBy("held_out", "toxic", "predicted").count().collect()}
-    right = sum(v for (h, y, p), v in n.items() if h and y == p)
-    assert right >= 0.9 * sum(v for (h, _, _), v in n.items() if h)
+    caught, toxic, flagged = (sum(v for (h, y, p), v in n.items() if h and f(y, p)) for f in (lambda y, p: y and p, lambda y, p: y, lambda y, p: p))
+    assert caught >= 0.5 * toxic and caught >= 0.8 * flagged
     none = tx.toxicity(spark.createDataFrame([(1, None), (None, ""), (1, "x" * 50_000)], "doc_id long, text string"), tx.fit([]))
     assert [r.score for r in none.collect()] == [0, 0, 0]
 
 
+def test_sample_is_bounded_and_odd_rows_do_not_matter(spark, monkeypatch):
+    """Repeated ids and rows, contradicting labels, clashing columns; a bound on characters that leaves one row of each label."""
+    texts = [(i, f"you are a moron scum {chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 4 == 0 else f"a fine day {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    docs = spark.createDataFrame([(*r, 0.5, 1, "z") for r in [*texts, texts[0], (0, "other text"), (None, "moron"), (7, None)]], "doc_id long, text string, score double, y int, hash string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 0), (None, 1)], "doc_id long, toxic int")
+    model = tx.learn(docs, labels)
+    assert {t for t, _ in model.entries} & {"moron", "scum"}
+    scored = tx.toxicity(docs, model).collect()
+    assert len(scored) == 204 and all(0 <= r.score <= 1 for r in scored) and tx.toxicity(docs.limit(0), model).count() == 0
+    monkeypatch.setattr(tx, "SAMPLE_CHARS", 1)
+    seen = []
+    monkeypatch.setattr(tx, "fit", seen.append)
+    tx.learn(docs, labels)
+    assert sorted(y for _, y in seen[0]) == [0, 1]
+
+
 @pytest.mark.parametrize("rows", [[], [("only clean", 0)], [("only toxic", 1)]])
 def test_fits_on_little(rows):
     assert tx.Scorer(tx.fit(rows)).score("only clean") >= 0

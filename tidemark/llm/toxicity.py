@@ -7,7 +7,7 @@ A word whose state is empty matches nothing, which for most words shows after tw
 or a stem, which matches any word that begins with it exactly; stems and words under EDIT_LETTERS letters take no edits.
 
 Learning, from a bounded sample of labelled rows (TOXIC_ROWS rows of label 1 and CLEAN_ROWS of label 0, in the order of a
-hash of their id; whole texts): entries are words and word beginnings that stand in at least LEAST documents of label 1
+hash of their id; whole texts, of SAMPLE_CHARS characters a label at most but for the first): entries are words and word beginnings that stand in at least LEAST documents of label 1
 and hardly ever in others, taken one by one as they explain documents that earlier ones do not. The weight of an entry
 is the share of toxic documents among those that have it, at equal numbers of both labels. Misspellings are judged one by
 one: a form weighs MISSPELT of its entry, enough to decide alone for a strong entry, or nothing if a clean document of the
@@ -15,7 +15,8 @@ sample has that form.
 
 Scoring: a hit counts its weight, QUOTED of it where its context window shows quotation (inside quotation marks, or after a
 word of reporting within CONTEXT words). Score is 1 - exp(-SLOPE * sum over distinct entries of the entry's best hit and a
-quarter of its others). Null and empty texts score 0. Texts are scored whole. Extra columns are not read.
+quarter of its others). Null and empty texts score 0. Texts are scored whole. Repeated rows and ids are scored one by one; of labels that contradict each
+other 1 counts. An empty table gives an empty result, and without labels all scores are 0. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, settle, table
 
+SAMPLE_CHARS = 20_000_000
 TOXIC_ROWS, CLEAN_ROWS, LEAST, IMPURE, DECAY, MOST_EDITS = 2_000, 6_000, 3, 0.02, 0.25, 1
 STEM_LETTERS, STEM_SUFFIXES, EDIT_LETTERS, LEXICON, STATES = (4, 5, 6, 7, 8), 3, 5, 500, 50_000
 QUOTED, MISSPELT, CONTEXT, SLOPE, THRESHOLD = 0.2, 0.5, 4, 1.2, 0.3
@@ -246,11 +248,16 @@ class Scorer:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Labels of rows that are not held out; a row with contradicting labels counts as toxic, one without text is left out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.when(F.col("y") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).select("doc_id", "y")
-    chosen = settle(chosen)  # TOXIC_ROWS + CLEAN_ROWS rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "doc_id").orderBy("doc_id", "text")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    some = [marked.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    chosen = settle(some[0].union(some[1]))  # TOXIC_ROWS + CLEAN_ROWS rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("hash", F.xxhash64("text"))
+    #: Of a repeated id each text counts once; whole texts are taken until SAMPLE_CHARS are reached, one of each label at least.
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("y", "doc_id", "hash").agg(F.max(F.length("text")).alias("chars"))
+    first = sizes.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(*order, "hash"))).filter(F.col("k") <= TOXIC_ROWS + CLEAN_ROWS)
+    run = F.sum("chars").over(Window.partitionBy("y").orderBy("k"))
+    keys = settle(first.withColumn("run", run).filter((F.col("run") <= SAMPLE_CHARS) | (F.col("k") == 1)).select("doc_id", "hash", "y"))
+    sample = texts.join(F.broadcast(keys), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("text", "y", "doc_id").orderBy("doc_id", "text")
     return fit([(r.text, r.y) for r in sample.toLocalIterator()])
 
 

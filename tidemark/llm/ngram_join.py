@@ -11,7 +11,7 @@ Some part of the first level then holds one difference of two partners at most,
 parts. Signatures enumerate those subsets: for each part of the first level and each two of its three parts, a hash of the
 set's shingles there. Sets that are equal are one class from the start, and only classes are compared, so no pair of copies
 is ever formed. A task hands each class on once, as far as it remembers; a signature that many of its classes have, beyond
-the first HOT in SLICE of them, is sent aside, as it is shared for certain, so no task gets all rows of a hot signature.
+the first HOT in SLICE of them, bears a salt, as it is shared for certain, so no task gets all rows of a hot signature.
 
 Candidates: a bucket of a signature is never expanded into its pairs. In each of PIVOT_ROUNDS rounds a bucket offers one of
 its classes as a pivot, each other class is compared with the pivot that it shares most signatures with, and linked classes
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, release, row_key, settle, table
 
 SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS, KNOWN = 5, 80, 2.0, 2, 16, 100_000
-SECOND, SLICE, HOT = 3, 500, 32
+SECOND, SLICE, HOT, SALTS = 3, 500, 32, 1009
 _MIX, _MIX2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,32 +131,48 @@ def _lists(columns: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *columns]).view(np.int64)))
 
 
-def _apart(found: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The signatures of some classes, and apart from them what comes after the first HOT of one signature."""
-    all_ = np.concatenate([np.zeros(0, np.uint64), *found])
-    order = np.argsort(all_, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], all_[order][1:] != all_[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    hot = np.zeros(len(all_), bool)
-    hot[order[np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order)))) >= HOT]] = True
-    hot = np.split(hot, np.cumsum([len(x) for x in found])[:-1])
-    return [x[~h] for x, h in zip(found, hot, strict=True)], [x[h] for x, h in zip(found, hot, strict=True)]
+def _salts(found: np.ndarray) -> np.ndarray:
+    """0 for the first HOT places of each signature among some classes, a salt for those beyond."""
+    order = np.argsort(found, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], found[order][1:] != found[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    beyond = order[np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order)))) >= HOT]
+    salts = np.zeros(len(found), np.int32)
+    salts[beyond] = 1 + beyond % SALTS
+    return salts
 
 
-def _parsed(size: int, bands: Bands):
-    """(id, row, n, node, and the signatures of a class that the task has not met) of each row."""
+def _classes(size: int):
+    """(id, row, n, node) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
         for whole in batches:
             for s in range(0, whole.num_rows, SLICE):
                 b = whole.slice(s, SLICE)
                 sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
-                nodes = [set_hash(x) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64())], ["id", "row", "n", "node"])
+
+    return run
+
+
+def _signed(size: int, bands: Bands):
+    """(sig, salt, node) of the classes that the task has not met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for whole in batches:
+            for s in range(0, whole.num_rows, SLICE):
                 if len(known) > KNOWN:
                     known.clear()
-                none = np.zeros(0, np.uint64)
-                plain, hot = _apart([none if h is None or h in known or known.add(h) else signatures(x, bands) for x, h in zip(sets, nodes, strict=True)])
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(plain), _lists(hot)], ["id", "row", "n", "node", "sigs", "hot"])
+                nodes, found = [], []
+                for t in whole.slice(s, SLICE).column("text").to_pylist():
+                    x = shingle_set(t, size)
+                    if len(x) and (h := set_hash(x)) not in known:
+                        known.add(h)
+                        nodes.append(h)
+                        found.append(signatures(x, bands))
+                if found:
+                    sigs = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(_salts(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in found]))], ["sig", "salt", "node"])
 
     return run
 
@@ -194,8 +210,8 @@ def _may_link(percent: int) -> Column:
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links lead to, its own included).
 
-    Texts are read once for their signatures, and once more where a class shares one. Disk: the lists of signatures and one
-    exchange of them are the most that stands at a time, which is why shuffles are released in between.
+    Texts are read for their classes, for signatures, and once more where a class shares one. Disk: the one exchange of
+    signatures is the most that stands at a time; it is released before texts move.
 
     Ids may be of any type that has an order, such as a struct that tells rows of a repeated id apart.
     """
@@ -203,13 +219,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     bands = Bands(percent, width)
     named = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("string").alias("text"))
     given = named.withColumn("row", row_key("id"))
-    parsed = settle(given.mapInArrow(_parsed(shingle, bands), f"id {id_type}, row long, n long, node long, sigs array<long>, hot array<long>"))
-    buckets = _buckets(parsed)
+    rows = settle(given.mapInArrow(_classes(shingle), f"id {id_type}, row long, n long, node long"))
+    buckets = _buckets(given, shingle, bands)
     release(spark)
-    nodes = _nodes(given, parsed, buckets, shingle)
+    nodes = _nodes(given, rows, buckets, shingle)
     release(spark)
     components = _contract(buckets, nodes, percent)
-    rows = parsed.select("id", "n", "node")
+    rows = rows.select("id", "n", "node")
     named = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     labelled = named.join(components, "node").groupBy("component").agg(F.min("least").alias("least"))
     members = components.join(labelled, "component").select("node", F.col("least").alias("linked"))
@@ -223,18 +239,18 @@ def _led(key: str) -> Column:
     return F.pmod(F.col(key), F.lit(1009)).alias("lead")
 
 
-def _buckets(parsed: DataFrame) -> DataFrame:
-    """(sig, node) of the signatures that two classes or more have."""
-    signed = parsed.select(F.explode("sigs").alias("sig"), "node")
-    alike = Window.partitionBy("sig")
-    shared = signed.select("sig", "node", F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")).filter("low <> high").select("sig", "node")
-    return settle(shared.union(parsed.select(F.explode("hot").alias("sig"), "node")))
+def _buckets(given: DataFrame, shingle: int, bands: Bands) -> DataFrame:
+    """(sig, node) of the signatures that two classes or more have; what bears a salt is shared for certain."""
+    signed = given.select("text").mapInArrow(_signed(shingle, bands), "sig long, salt int, node long")
+    alike = Window.partitionBy("sig", "salt")
+    low, high = F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")
+    return settle(signed.select("sig", "salt", "node", low, high).filter("salt > 0 or low <> high").select("sig", "node"))
 
 
-def _nodes(given: DataFrame, parsed: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+def _nodes(given: DataFrame, rows: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
     """(node, n, sketch, set) of the classes in buckets, each from one row of its class."""
     met = buckets.select("node").distinct()
-    chosen = parsed.filter("size(sigs) + size(hot) > 0").groupBy("node").agg(F.min("row").alias("row")).join(met.hint("merge"), "node", "left_semi").select("row")
+    chosen = rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(met.hint("merge"), "node", "left_semi").select("row")
     texts = given.select("row", "text").join(chosen.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
     return settle(texts.mapInArrow(_described(shingle), "node long, n long, sketch array<long>, set binary"))
 

@@ -119,8 +119,8 @@ def test_conformal_and_labels(spark):
     df = spark.createDataFrame([(float(x), 1) for x in [5, 1, 3, 3, 9, 2]], "s double, g int")
     r = metrics.conformal_quantile(df, "s", 0.7, ["g"]).first()
     assert (r.n, r.k, r.q) == (6, metrics.conformal_rank(6, 0.7), sorted([5, 1, 3, 3, 9, 2])[4])
-    w = spark.createDataFrame([("k", 81.0, 100.0), ("k", 79.0, 300.0), ("z", 5.0, 0.0), ("z", 7.0, 0.0)], "k string, p double, v double")
-    assert {r.k: r.reference_price for r in metrics.weighted_reference(w, ["k"], "p", "v", {}).collect()} == {"k": 79.5, "z": 6.0}
+    w = spark.createDataFrame([("k", 12.0, 50.0), ("k", 30.0, 10.0), ("z", 5.0, 0.0), ("z", 7.0, 0.0)], "k string, p double, v double")
+    assert {r.k: r.reference_price for r in metrics.weighted_reference(w, ["k"], "p", "v", {}).collect()} == {"k": 15.0, "z": 6.0}
 
 
 def test_ledger_tampering(spark):
@@ -163,7 +163,7 @@ def test_envelopes_and_text(spark, tmp_path):
     assert [tuple(r) for r in text] == [("1.005000000", "1.0049999999999999"), ("0.500000000", "0.5"), ("nan", "nan")]
     wraps = spark.createDataFrame([(43_200,), (-43_200,), (3_600,), (86_000,)], "s long").select(fn.signed_day_wrap(F.col("s"))).collect()
     assert [r[0] for r in wraps] == [-43_200, -43_200, 3_600, -400]
-    assert sources.snapshot_consistent(True, 1, 2, 3) and not sources.snapshot_consistent(False, 1, 2, 3)
+    assert sources.count_agrees(2, 1, 3, growing=True) and not sources.count_agrees(2, 1, 3) and sources.count_agrees(3, 3, 3)
     assert [tuple(r) for r in sources.page_plan(spark, 7, 3).collect()] == [(0, 3), (3, 3), (6, 1)]
 
 

@@ -52,6 +52,8 @@ def calendar(hour: Column, day_of_week: Column) -> dict[str, Column]:
 def safe_frame(df: DataFrame, horizon: int, value: str = "price", by: Sequence[str] = (), slot: str = "slot") -> DataFrame:
     """Lags and rolling statistics that are complete at the decision, `horizon` slots before the target: the slot of the decision is not."""
     safe = horizon + 1
+    if not 0 <= horizon < 48:
+        raise ValueError("the value of a day ago is not known at a decision 48 slots or more before the target")
     out = lags(df, value, {"lag_last": safe, "lag_second": safe + 1, "lag_day": 48, "lag_week": 336}, by, slot)
     out = rolling(out, value, "mean_six", 6, safe, "mean", by, slot)
     return rolling(out, value, "median_day", 48, safe, "median", by, slot)

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import finite
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -31,6 +33,20 @@ class Ridge:
     def predict(self) -> Column:
         return sum(((F.col(f) - m) / s * b for f, m, s, b in zip(self.features, self.mean, self.scale, self.coef[1:], strict=True)), F.lit(self.coef[0]))
 
+    def predict_strict(self) -> Column:
+        """The prediction; a NULL, NaN or infinite feature or result stops the job."""
+        p = self.predict()
+        good = finite(p)
+        for f in self.features:
+            good = good & finite(F.col(f))
+        return F.when(good, p).otherwise(F.raise_error(F.lit("a feature or the prediction is not finite")).cast("double"))
+
+    def to_text(self) -> str:
+        """Number of features, means, scales and coefficients: four lines of 17 significant digits."""
+        if not self.features:
+            raise ValueError("a model without features has no text form")
+        return "\n".join([str(len(self.features)), *(" ".join(f"{v:.17g}" for v in row) for row in (self.mean, self.scale, self.coef))]) + "\n"
+
     def to_json(self) -> str:
         return json.dumps({"features": self.features, "alpha": self.alpha, "mean": self.mean, "scale": self.scale, "coef": self.coef}, sort_keys=True)
 
@@ -70,7 +86,9 @@ def moments(df: DataFrame, features: Sequence[str], target: str) -> Moments:
 
 
 def solve(m: Moments, alpha: float) -> Ridge:
-    """The intercept is not penalised. With alpha 0 and a singular system the solution of least norm is taken; else it fails."""
+    """The intercept is not penalised; a negative penalty is refused. With alpha 0 and a singular system the solution of least norm is taken; else it fails."""
+    if not alpha >= 0:
+        raise ValueError("the penalty must be 0 or more")
     a = m.gram + alpha * np.eye(len(m.features))
     if alpha == 0 and np.linalg.matrix_rank(a) < len(a):
         b = np.linalg.pinv(a, hermitian=True) @ m.cross

@@ -37,6 +37,13 @@ def ridge_score(spark, d):
     return rounded(out.select("slot", m.predict().alias("prediction"), (m.predict() - F.col("price")).alias("error")), "prediction", "error")
 
 
+#: Two features: the standardised system [[n + 1, g], [g, n + 1]] b = (c1, c2) in closed form.
+RIDGE_SCORE = f"""WITH {SERIES}, nb AS (SELECT *, slot - (SELECT min(slot) FROM sco) AS k FROM sco), m AS (SELECT count(*) AS n, avg(frozen) AS m1, stddev_pop(frozen) AS s1, avg(reference) AS m2, stddev_pop(reference) AS s2, avg(price) AS y, corr(frozen, reference) * count(*) AS g,
+ covar_pop(frozen, price) / stddev_pop(frozen) * count(*) AS c1, covar_pop(reference, price) / stddev_pop(reference) * count(*) AS c2 FROM nb WHERE k < 600),
+p AS (SELECT slot, price, y + (frozen - m1) / s1 * (c1 * (n + 1) - g * c2) / ((n + 1) * (n + 1) - g * g) + (reference - m2) / s2 * (c2 * (n + 1) - g * c1) / ((n + 1) * (n + 1) - g * g) AS prediction FROM nb, m WHERE k >= 600)
+SELECT slot, round(prediction, 7) AS prediction, round(prediction - price, 7) AS error FROM p"""
+
+
 def ridge_select_alpha(spark, d):
     b = blocks(spark, d)
     best, maes = ridge.select_alpha(ridge.moments(b["train"], ["frozen"], "price"), b["selection"], "price")
@@ -48,15 +55,25 @@ e AS (SELECT alpha, avg(abs(y + (frozen - mu) / sd * c / (n + alpha) - price)) A
 SELECT CAST(alpha AS DOUBLE) AS alpha, round(mae, 6) AS mae, alpha = (SELECT arg_min(alpha, (mae, alpha)) FROM e) AS selected FROM e"""
 
 
-def experiment_fixed_window(spark, d):
+def _experiment(spark, d, **more):
     base = features.safe_frame(series(spark, d), s.HORIZON).dropna(subset=["price", "lag_last", "lag_second", "lag_day", "mean_six"])
     first = base.agg(F.min("slot").alias("first"))
     rows = base.crossJoin(F.broadcast(first)).withColumn("k", F.col("slot") - F.col("first")).withColumn("decision_slot", F.col("slot") - s.HORIZON)  # one row
     parts = {name: rows.filter((F.col("k") >= a) & (F.col("k") < b)) for name, (a, b) in s.BLOCKS.items()}
-    out = experiment.run(parts, {"history": ["lag_last", "lag_day"], "levels": ["lag_last", "lag_day", "mean_six", "lag_second"]}, "price", "lag_day")
+    simple = {"history": ["lag_last", "lag_day"], "levels": ["lag_last", "lag_day", "mean_six"]}
+    out = experiment.run(parts, simple, {"revisions": ["lag_last", "lag_day", "mean_six", "lag_second"]}, "price", "lag_day", "lag_last", **more)
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
+def experiment_fixed_window(spark, d):
+    return _experiment(spark, d)
+
+
+def experiment_local_scale(spark, d):
+    """The same choice, with intervals that widen where errors are expected to be large."""
+    return _experiment(spark, d, scale_floor=0.5, least_calibration=100)
+
+
 def paired_streams(spark, d):
     """Two streams of one series, by parity of the event; each half-hour pair is accepted or rejected for the first reason that holds."""
     e = table(spark, d, "events").withColumn("slot", slot_of("ts"))
@@ -191,7 +208,7 @@ SELECT slot, slot + 4 AS target_slot, round(baseline, 7) AS baseline, sr AS shor
 
 QUERIES = {
     "blinded_availability": (blinded_availability, BLINDED), "live_shadow": (live_shadow, LIVE),
-    "ridge_fit": (ridge_fit, RIDGE_FIT), "ridge_score": (ridge_score, None), "ridge_select_alpha": (ridge_select_alpha, SELECT_ALPHA), "experiment_fixed_window": (experiment_fixed_window, None), "paired_streams": (paired_streams, PAIRED),
+    "ridge_fit": (ridge_fit, RIDGE_FIT), "ridge_score": (ridge_score, RIDGE_SCORE), "ridge_select_alpha": (ridge_select_alpha, SELECT_ALPHA), "experiment_fixed_window": (experiment_fixed_window, None), "experiment_local_scale": (experiment_local_scale, None), "paired_streams": (paired_streams, PAIRED),
     "block_bootstrap_day": (block_bootstrap_day, BOOT_DAY), "block_bootstrap_moving": (block_bootstrap_moving, BOOT_MOVING), "ledger_build": (ledger_build, LEDGER), "ledger_verify": (ledger_verify, LEDGER_VERIFY),
     "stream_daily_cycle": (stream_daily_cycle, STREAM), "parquet_roundtrip": (parquet_roundtrip, ROUNDTRIP),
 }

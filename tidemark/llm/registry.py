@@ -19,6 +19,9 @@ MODULES = {
     "op8_token_counts": "query_token_counts",
     "op9_bpe_codes": "query_bpe",
     "op10_toxicity": "toxicity",
+    "op11_embedding_cells": "cell_dedup",
+    "op12_vector_codes": "vector_codes",
+    "op13_lexical_rank": "lexical_rank",
 }
 
 

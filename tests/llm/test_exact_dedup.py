@@ -9,7 +9,13 @@ def brute(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(norm(t), []).append((-len(t or ""), i))
-    return sorted((i, min(g := groups[norm(t)])[1], len(g), i == min(g)[1], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+    out = [[i, min(g := groups[norm(t)])[1], len(g), False, hashlib.sha256(norm(t).encode()).hexdigest()] for i, t in rows]
+    stays = {}
+    for k, (i, t) in enumerate(rows):
+        stays.setdefault(norm(t), []).append((-len(t or ""), i, k))
+    for g in stays.values():
+        out[min(g)[2]][3] = True
+    return sorted(map(tuple, out))
 
 
 def test_against_brute_force(spark):
@@ -34,3 +40,15 @@ def test_a_hot_text_is_salted(spark):
     docs = spark.createDataFrame([(i, "same  text" if i % 3 else f"own {i}") for i in range(3000)], "doc_id long, text string").repartition(6)
     got = ed.exact_dedup(docs).filter("group_size > 1").agg({"group_size": "max", "keep_id": "max", "doc_id": "count"}).first()
     assert (got["max(group_size)"], got["max(keep_id)"], got["count(doc_id)"]) == (2000, 1, 2000)
+
+
+def test_one_row_is_kept_whatever_ids_repeat(spark):
+    """Rows are judged, not ids: of one id the longer text stays, and of rows alike one does."""
+    least = -(2**63)
+    rows = [(1, "a b"), (1, "ab"), (2, "x"), (2, "x"), (2, "x"), (least, "q"), (least + 1, "q"), (5, "q q"), (5, "qq"), (7, None), (least, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ed.exact_dedup(docs).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == brute(rows)
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
+    none = spark.createDataFrame([(None, "t"), (3, "t"), (None, "u"), (None, "u")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in ed.exact_dedup(none).collect()) == [("3", "3", True), ("None", "3", False), ("None", "None", False), ("None", "None", True)]

@@ -26,6 +26,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
+def free_name(df: DataFrame, base: str, *taken: str) -> str:
+    """A name for a column of the operator's own that no column of df has, whatever the case of its letters."""
+    used, name = {c.lower() for c in (*df.columns, *taken)}, base
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def row_key(id_col: str = "id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -33,14 +41,17 @@ def row_key(id_col: str = "id", text_col: str = "text") -> Column:
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once, in the folder that spark.checkpoint.dir names, and cut its lineage there.
 
-    Executors share that folder, so the copy outlives any of them. Only where the setting is missing, as in
-    tests, a temporary folder takes its place. From here on Arrow batches hold ARROW_BYTES at most, as Python workers share an
+    Executors share that folder, so the copy outlives any of them. Where the setting is missing, a temporary folder takes its
+    place on a local master, as in tests; on a cluster executors would not share one, so that is an error. From here on Arrow batches hold ARROW_BYTES at most, as Python workers share an
     executor's memory with its heap.
     """
     context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     conf.set(_BATCHES, str(ARROW_BYTES))
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 

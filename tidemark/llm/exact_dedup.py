@@ -8,7 +8,8 @@ salt, so that no task receives the records of a hot text from all map tasks; wha
 aggregation by digest.
 
 Rows: null text counts as empty; all texts of white space are equal to the empty one; among equal texts the one with most
-code points stays, then the smallest id; a repeated id is judged like any other row. Texts of any length are compared whole: a table holds one
+code points stays, then the smallest id (null ids last), then any one of those alike in both, so one row of a class is kept
+whether or not ids repeat. Texts of any length are compared whole: a table holds one
 row at least, however large. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import free_name, row_key, settle
 
 SPACE = b" \t\n\v\f\r"
 MAP_BYTES, TABLE_BYTES, FAN_OUT, HOT_ROWS, SALTS = 24 << 20, 48 << 20, 16, 64, 64
@@ -166,8 +167,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(digest, keep_id, group_size) of every class of equal texts."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     met = narrow.mapInArrow(_fold, FOLDED).repartition("digest", "salt").select("digest", "content", "n", "points", "id").mapInArrow(_meet, GROUPS)
-    best = F.max(F.struct("points", (-F.col("id")).alias("minus"))).alias("best")
-    return met.groupBy("digest").agg(F.sum("n").alias("group_size"), best).select("digest", (-F.col("best.minus")).alias("keep_id"), "group_size")
+    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), "id")).alias("best")
+    return met.groupBy("digest").agg(F.sum("n").alias("group_size"), best).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +178,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that adaptive execution splits, as the other side has a single row for it.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _judged(narrow.mapInArrow(_digests, "id long, digest binary"), exact_groups(docs, id_col, text_col)).withColumnRenamed("id", id_col)
+    measured = narrow.select("id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), "text").mapInArrow(_digests, "id long, points long, digest binary")
+    judged = settle(_judged(measured, exact_groups(docs, id_col, text_col), "points", "keep_points").withColumn("row", F.monotonically_increasing_id()))
+    #: Rows that have the length and the id that stay; of each class the first of them does.
+    fit = judged.filter("group_size > 1 and kept and points = keep_points").groupBy("text_sha256").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    kept = (F.col("group_size") == 1) | F.coalesce("first", F.lit(False))
+    return judged.join(fit.hint("merge"), "row", "left").select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def _judged(members: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
@@ -202,7 +208,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("points"), F.col(text_col).cast("string").alias("text"))
     members = narrow.mapInArrow(_digests, "id long, row long, points long, digest binary")
     kept = _judged(members, exact_groups(docs, id_col, text_col), "row", "points").filter("kept")
-    stays = kept.groupBy("text_sha256").agg(F.max(F.struct("points", "row")).alias("best")).select(F.col("best.row").alias("__row"))
-    copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    once = docs.withColumn("__row", row_key(id_col, text_col)).withColumn("__copy", copy).filter("__copy = 1")
-    return once.join(stays.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row")
+    n = free_name(docs, "copy", row)
+    stays = kept.groupBy("text_sha256").agg(F.max(F.struct("points", "row")).alias("best")).select(F.col("best.row").alias(row))
+    copy = F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(*docs.columns)))
+    once = docs.withColumn(row, row_key(id_col, text_col)).withColumn(n, copy).filter(F.col(n) == 1)
+    return once.join(stays.hint("merge"), row, "left_semi").select(*docs.columns)

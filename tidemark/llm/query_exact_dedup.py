@@ -17,7 +17,7 @@ WITH t AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       row_number() OVER w = 1 AS kept,
        sha256(norm) AS text_sha256
 FROM t
 WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)

@@ -18,7 +18,8 @@ the rest need not be compared, so copies of a hot vector take no room. Keys that
 by the row, in each ordering differently, so windows stay even. Queries are all rows whose id is divisible by QUERY_EVERY. Null, zero or non-finite vectors take no part, nor do rows
 without an id; vectors of several dimensions are searched each among their own. Rows are judged each by itself, whether or
 not others have their id: a repeated row is a candidate for its twin, and each row that asks has its own ranks. Ties go to
-the smaller id. Empty tables give an empty result. Extra columns are not read.
+the smaller id. Products that overflow are infinite and rank first or last. Empty tables give an empty result. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def _keys(curves: int, seed: int):
 def compare(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
     """The best of one tile for each of its queries; queries come first, vectors then in blocks of ROWS.
 
-    Products are summed in one fixed order, so equal vectors have equal scores wherever they stand.
+    Products are summed in one fixed order, so equal vectors have equal scores wherever they stand. Places without an
+    answer bear no row; infinite products are answers like others, and one that overflows to both sides counts as -inf.
     """
     asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     q_rows = best = None
@@ -121,14 +123,17 @@ def compare(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.Reco
             best = np.full(shape, -np.inf), np.full(shape, none), np.full(shape, none)
         for s in range(0, len(ids), ROWS):
             part = rows[s : s + ROWS], ids[s : s + ROWS]
-            scores = np.einsum("qd,vd->qv", q, v[s : s + ROWS])
-            scores[q_rows[:, None] == part[0][None, :]] = -np.inf
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.einsum("qd,vd->qv", q, v[s : s + ROWS])
+            own = q_rows[:, None] == part[0][None, :]
+            scores[own | np.isnan(scores)] = -np.inf
             all_scores = np.concatenate([best[0], scores], axis=1)
-            all_ids, all_rows = (np.concatenate([old, np.broadcast_to(new, scores.shape)], axis=1) for old, new in ((best[1], part[1]), (best[2], part[0])))
+            all_ids = np.concatenate([best[1], np.broadcast_to(part[1], scores.shape)], axis=1)
+            all_rows = np.concatenate([best[2], np.where(own, none, part[0][None, :])], axis=1)
             #: Only what reaches the score of the last place can enter; ties with it go by id.
             last = -np.partition(-all_scores, nearest - 1, axis=1)[:, nearest - 1]
             y, x = np.nonzero(all_scores >= last[:, None])
-            order = np.lexsort((all_rows[y, x], all_ids[y, x], -all_scores[y, x], y))
+            order = np.lexsort((all_rows[y, x], all_ids[y, x], all_rows[y, x] == none, -all_scores[y, x], y))
             y, x = y[order], x[order]
             place = np.arange(len(y)) - np.searchsorted(y, y)
             y, x, place = (n[place < nearest] for n in (y, x, place))
@@ -136,7 +141,7 @@ def compare(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.Reco
             for old, new in zip(best, kept, strict=True):
                 old[y, place] = new
     if best is not None:
-        real = np.isfinite(best[0])
+        real = best[2] != none
         count = real.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(q_rows, count), np.repeat(q_ids, count), best[2][real], best[1][real], best[0][real])], FOUND)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -118,3 +119,22 @@ def test_hashes_tell_grams_apart():
     assert len(np.unique(sd.gram_hashes(np.frombuffer(raw, np.uint8), 32))) == 50_000 - 31
     h, first, last = sd.anchors(raw)
     assert len(np.unique(h)) == len(h) < 50_000 / 60
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    n = 400_000
+    first = np.arange(n) * 500
+    began = time.time()
+    start, end = sd.joined(first, first + 10, 200)
+    assert time.time() - began < 2 and len(start) == n and (end - start == 210).all()
+    start, end = sd.joined(np.array([0, 5, 300, 500, 900]), np.array([200, 6, 310, 600, 900]), 200)
+    assert list(zip(start.tolist(), end.tolist())) == [(0, 800), (900, 1100)]
+
+
+def test_columns_of_any_name(spark):
+    text = "abc defg " * 60
+    docs = spark.createDataFrame([(1, text, 7, "x"), (2, text + "tail", 8, "y"), (3, None, 9, "z")], "doc_id long, text string, row long, __row string")
+    got = {r.doc_id: (r.text, r.row, r["__row"]) for r in sd.without_repeats(docs, spans_col="cut").collect()}
+    assert got[3] == (None, 9, "z") and got[2][1:] == (8, "y") and got[1][1:] == (7, "x")
+    with pytest.raises(ValueError):
+        sd.without_repeats(docs, spans_col="row")

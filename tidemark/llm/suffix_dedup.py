@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, row_key, settle, table
+from .common import free_name, pieces, release, row_key, settle, table
 
 LENGTH, GRAM, HOT = 200, 32, 4096
 CHUNK, BLOCK = 1 << 18, 1 << 18
@@ -337,21 +337,29 @@ def _repeats(rows: DataFrame, parted: DataFrame, length: int, hot: int) -> DataF
     far = strings.withColumn("lead", _led("k1")).join(twice, ["k1", "k2", "lead"]).select("row", "first", F.col("first").alias("last"))
     whole = copied.select("row", F.lit(0).cast("long").alias("first"), (F.col("n") - length).alias("last"))
     runs = near.union(far).union(same).join(copied.select("row"), "row", "left_anti").union(whole.distinct())
-    return runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", F.col("last").alias("last")))).alias("runs")).select("row", _joined("runs", length).alias("spans"))
+    gathered = runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    return gathered.mapInArrow(_joined(length), "row long, spans array<struct<start:bigint,end:bigint>>")
 
 
-def _joined(runs: str, length: int) -> Column:
-    """Runs of starts, sorted, to ranges of bytes that do not touch."""
-    start = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+def joined(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of starts, sorted by their first, to the starts and ends of ranges of bytes that do not touch."""
+    end = np.maximum.accumulate(last + length)
+    opens = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return first[opens], end[np.append(opens[1:], len(end)) - 1]
 
-    def add(spans: Column, run: Column) -> Column:
-        last = F.element_at(spans, -1)
-        end = run["last"] + length
-        new = F.struct(run["first"].alias("start"), end.cast("long").alias("end"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).cast("long").alias("end"))
-        return F.when((F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["end"] >= run["first"]), F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(grown))).otherwise(F.concat(spans, F.array(new)))
 
-    return F.aggregate(F.col(runs), start, add)
+def _joined(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, flat = b.column("runs"), b.column("runs").flatten()
+            at = np.cumsum([0, *pc.list_value_length(rows).to_pylist()])
+            first, last = (flat.field(k).to_numpy() for k in (0, 1))
+            found = [joined(first[x:y], last[x:y], length) for x, y in zip(at[:-1], at[1:], strict=True)]
+            spans = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])) for k in (0, 1)], ["start", "end"])
+            offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(offsets, spans)], ["row", "spans"])
+
+    return run
 
 
 def kept(raw: bytes, spans: list) -> bytes:
@@ -383,13 +391,21 @@ def digest_kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """docs with repeated passages cut out of the text, and spans; characters of which a byte goes go whole.
 
-    docs must not have a column that is named like spans_col.
+    docs may have columns of any names but spans_col, which is refused.
     """
-    spans = repeats(docs, length, id_col=id_col, text_col=text_col)
-    rest = F.udf(lambda t, s: t if not s or t is None else kept(t.encode(), s).decode(errors="ignore"), "string", useArrow=True)
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    met = keyed.join(spans.withColumnsRenamed({"row": "__row", "spans": "__spans"}), "__row", "left")
-    return met.withColumn(text_col, rest(text_col, "__spans")).select(*docs.columns, F.col("__spans").alias(spans_col))
+    if spans_col in docs.columns:
+        raise ValueError(f"docs has a column {spans_col}; choose another name for the spans")
+    row = free_name(docs, "row", spans_col)
+    spans = repeats(docs, length, id_col=id_col, text_col=text_col).select(F.col("row").alias(row), F.col("spans").alias(spans_col))
+    met = docs.withColumn(row, row_key(id_col, text_col)).join(spans, row, "left").drop(row).withColumn(text_col, F.col(text_col).cast("string"))
+    at = met.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = [t if not s or t is None else kept(t.encode(), s).decode(errors="ignore") for t, s in zip(b.column(at).to_pylist(), b.column(spans_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
+
+    return met.mapInArrow(run, met.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

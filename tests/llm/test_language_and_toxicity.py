@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -135,10 +136,11 @@ def test_misspelt_markers_decide_alone():
 
 
 def test_toxicity_query(spark):
-    got = tx.query(spark, SF).join(table(spark, SF, "labels"), "doc_id")
+    big = SF.replace("0.01", "0.1")
+    got = tx.query(spark, big).join(table(spark, big, "labels"), "doc_id")
     n = {(r.held_out, r.toxic, r.predicted): r["count"] for r in got.groupBy("held_out", "toxic", "predicted").count().collect()}
     caught, toxic, flagged = (sum(v for (h, y, p), v in n.items() if h and f(y, p)) for f in (lambda y, p: y and p, lambda y, p: y, lambda y, p: p))
-    assert caught >= 0.5 * toxic and caught >= 0.8 * flagged
+    assert caught >= 0.8 * toxic and caught >= 0.9 * flagged, (caught, toxic, flagged)
     none = tx.toxicity(spark.createDataFrame([(1, None), (None, ""), (1, "x" * 50_000)], "doc_id long, text string"), tx.fit([]))
     assert [r.score for r in none.collect()] == [0, 0, 0]
 
@@ -162,3 +164,10 @@ def test_sample_is_bounded_and_odd_rows_do_not_matter(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [("only clean", 0)], [("only toxic", 1)]])
 def test_fits_on_little(rows):
     assert tx.Scorer(tx.fit(rows)).score("only clean") >= 0
+
+
+def test_thousands_of_quoted_hits_take_linear_time():
+    scorer = tx.Scorer(tx.Model([("maroon", False)], {(0, 0): 1e-5, (0, 1): 0.0}, frozenset()))
+    text = ' '.join(['"maroon"'] * 40_000)
+    began = time.time()
+    assert 0 < scorer.score(text) < scorer.score(text.replace('"', "")) and time.time() - began < 20

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,7 @@ from .common import held_out, settle, table
 
 SAMPLE_CHARS = 20_000_000
 TOXIC_ROWS, CLEAN_ROWS, LEAST, IMPURE, DECAY, MOST_EDITS = 2_000, 6_000, 3, 0.02, 0.25, 1
-STEM_LETTERS, STEM_SUFFIXES, EDIT_LETTERS, LEXICON, STATES = (4, 5, 6, 7, 8), 3, 5, 500, 50_000
+STEM_LETTERS, STEM_SUFFIXES, EDIT_LETTERS, STATES = (4, 5, 6, 7, 8), 3, 5, 50_000
 QUOTED, MISSPELT, CONTEXT, SLOPE, THRESHOLD = 0.2, 0.5, 4, 1.2, 0.3
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters that stand for others in disguised spellings, and words that report another's speech.
@@ -173,7 +174,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     left, taken = [1.0] * len(toxic), []
     explained = lambda f: sum(left[i] for i in hopeful[f])
     score = {f: explained(f) for f in hopeful}
-    while score and len(taken) < LEXICON:
+    while score:
         f = max(score, key=lambda f: (score[f], f))
         rest = sum(left)
         if score[f] * math.log((rest + n_clean + 1) / rest) < math.log(10 * len(where)):
@@ -237,7 +238,7 @@ class Scorer:
         for i, at, w in places:
             quoted = False
             if i is not None:
-                quoted = sum(x < at for x in marks) % 2 == 1 and any(x > at for x in marks) if marks else False
+                quoted = bisect_left(marks, at) % 2 == 1 and marks[-1] > at if marks else False
                 quoted = quoted or any(x in REPORTING for _, x in spans[max(0, i - CONTEXT) : i])
             for k, weight in hits[w]:
                 value = weight * (QUOTED if quoted else 1)
@@ -263,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # fewer entries than the sample has words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)

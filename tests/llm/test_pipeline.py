@@ -58,3 +58,25 @@ def test_repeated_rows_and_ids(spark):
     assert left in (Counter(stay), Counter([*stay[1:], (9, near)]))
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in left], docs.schema)
     assert Counter((r.doc_id, r.text) for r in cp.cut_repeated_passages(spark, docs, "").collect()) == left
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, and columns that are named like those of the stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, __row long, row string, copy int, spans int, predicted string, score double, id long, kept boolean"
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(80))
+    a, b = text(), text()
+    rows = [(i, t, None if i == 2 else "en", None, None, 70 + i, f"r{i}", i, i, "p", 0.5, -i, None) for i, t in enumerate([a, b, text(), a, None, "", text() + " " + b[:300], "12 .."])]
+    full = spark.createDataFrame([*rows, (None, text(), "en", "s", 1, None, None, None, None, None, None, None, None)], schema)
+    for docs in (full, full.limit(0)):
+        for k, (name, stage) in enumerate(cp.STAGES):
+            before = docs
+            docs = stage(spark, docs, "/root/testdata/sf0.001")
+            docs.write.parquet(path := str(tmp_path / f"{before is full}-{k}-{id(before)}"))
+            docs = spark.read.parquet(path)
+            if name != "packing":
+                assert docs.columns == before.columns
+                own = {r.doc_id: r for r in docs.select("doc_id", "__row", "row", "copy", "spans", "predicted", "score", "id", "kept").collect()}
+                assert all(tuple(r) == (i, 70 + i, f"r{i}", i, i, "p", 0.5, -i, None) for i, r in own.items() if i is not None), name
+        if before.count():
+            assert {r.doc_id for r in docs.collect()} == {0, 1, 2, 6, None}

@@ -187,7 +187,7 @@ def test_local_scale_stays_above_its_floor(spark):
 
 
 def test_stream_scores_only_what_was_recorded_before_its_target(spark, tmp_path):
-    from tidemark.streaming import run_to_table, score_matured
+    from tidemark.streaming import read_sink, run_available, score_matured
 
     at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
     p = spark.createDataFrame([(1, at(60), at(90), at(50), 1.0), (2, at(90), at(120), at(95), 2.0), (3, at(120), at(150), at(60), 3.0)], "target int, a string, b string, c string, prediction double")
@@ -196,5 +196,5 @@ def test_stream_scores_only_what_was_recorded_before_its_target(spark, tmp_path)
     p.write.parquet(str(tmp_path / "p"))
     o.write.parquet(str(tmp_path / "o"))
     read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
-    run_to_table(score_matured(read("p", p), read("o", o)), "scored_stream", str(tmp_path / "c"))
-    assert [(r.target, r.abs_error) for r in spark.table("scored_stream").collect()] == [(1, 0.5)]
+    run_available(score_matured(read("p", p), read("o", o)), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert [(r.target, r.abs_error) for r in read_sink(spark, str(tmp_path / "out")).collect()] == [(1, 0.5)]

@@ -18,7 +18,8 @@ def scored_history(decisions: DataFrame, scores: DataFrame, by: Sequence[str] =
 
     A score counts if it was verified before its target, its outcome was known (slot + settle <= now) and it had been
     scored by then. It is needed for `long` slots, so it meets decisions by bucket, in an equi join; a stream's history
-    can have any length. Repeated eligible targets are counted, and block the correction (`DUPLICATE_SCORED_TARGET`).
+    can have any length. From the time on that any target stands twice in the eligible history, however long ago it was,
+    corrections are blocked (`DUPLICATE_SCORED_TARGET`).
     """
     buckets = F.explode(F.array(F.floor(F.col("known") / BUCKET), F.floor(F.col("known") / BUCKET) + 1))
     if long > BUCKET:
@@ -29,17 +30,22 @@ def scored_history(decisions: DataFrame, scores: DataFrame, by: Sequence[str] =
     recent = F.col("known") > F.col("now") - short
     met = keyed.join(past, [*by, "bucket"]).filter(near).groupBy(*by, "now").agg(
         F.count_if(recent).alias("short_rows"), F.count("*").alias("long_rows"), F.avg(F.when(recent, F.col("residual"))).alias("short_mean"), F.avg("residual").alias("long_mean"),
-        F.max_by("past_forecast", "past_slot").alias("anchor"), (F.count("*") - F.count_distinct("past_slot")).alias("repeated"),
+        F.max_by("past_forecast", "past_slot").alias("anchor"),
     )
-    out = decisions.join(met, [*by, "now"], "left").fillna(0, ["short_rows", "long_rows", "repeated"])
+    use = F.greatest(F.col("slot") + settle, F.col("scored_at"))
+    again = scores.filter("verified").select(*by, use.alias("_use"), F.row_number().over(Window.partitionBy(*by, "slot").orderBy(use)).alias("_copy")).filter("_copy = 2")
+    first = again.groupBy(*by).agg(F.min("_use").alias("repeat_at"))
+    out = decisions.join(met, [*by, "now"], "left").fillna(0, ["short_rows", "long_rows"])
+    out = out.join(first, list(by), "left") if by else out.join(F.broadcast(first), how="cross")  # one row
+    repeated = F.coalesce(F.col("repeat_at") <= F.col("now"), F.lit(False))
     enough = (F.col("short_rows") >= least_short) & (F.col("long_rows") >= least_long)
     out = out.withColumns({"short_mean": F.when(enough, F.col("short_mean")), "long_mean": F.when(enough, F.col("long_mean"))})
-    proposal = F.when(F.col("repeated") > 0, 0.0).otherwise(F.coalesce(agreed_clip(F.col("short_mean"), F.col("long_mean")), F.lit(0.0)))
+    proposal = F.when(repeated, 0.0).otherwise(F.coalesce(agreed_clip(F.col("short_mean"), F.col("long_mean")), F.lit(0.0)))
     out = out.withColumn("proposal", proposal).withColumn("anchor_delta", F.when(F.col("proposal") != 0, F.col("ridge") - F.col("anchor")))
     aligned = (F.col("proposal") != 0) & (F.signum("anchor_delta") == F.signum("proposal"))
-    reason = F.when(F.col("repeated") > 0, "DUPLICATE_SCORED_TARGET").when(~enough, "WAIT_FOR_GENUINE_PRETARGET_SCORES").when(F.col("proposal") == 0, "DISAGREEMENT_FALLBACK_RIDGE").when(aligned, "SAME_SIGN_RESIDUALS").otherwise("FROZEN_RIDGE_DIRECTION_VETO")
+    reason = F.when(repeated, "DUPLICATE_SCORED_TARGET").when(~enough, "WAIT_FOR_GENUINE_PRETARGET_SCORES").when(F.col("proposal") == 0, "DISAGREEMENT_FALLBACK_RIDGE").when(aligned, "SAME_SIGN_RESIDUALS").otherwise("FROZEN_RIDGE_DIRECTION_VETO")
     out = out.withColumns({"reason": reason, "ridge_consensus": F.col("ridge") + F.col("proposal"), "ridge_direction_veto": F.col("ridge") + F.when(aligned, F.col("proposal")).otherwise(0.0)})
-    return out.drop("anchor", "repeated")
+    return out.drop("anchor", "repeat_at")
 
 
 #: The evidence classes that a score of either stream must have.

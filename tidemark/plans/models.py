@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import slot_of
 from ..operators import bootstrap, clock, experiment, features, governance, ledger, monitor, ridge
 from ..sources import table, write_zstd
-from ..streaming import daily, run_to_table
+from ..streaming import daily, read_sink, run_available
 from . import series as s
 from .series import SERIES, blocks, rounded, scored, series
 
 
 def shared(spark):
-    """A new folder that executors and the driver share: below spark.checkpoint.dir; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder that executors and the driver share: below spark.checkpoint.dir; a temporary one where that is unset on a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -162,9 +165,9 @@ LEDGER_VERIFY = f"""WITH {_LEDGER} SELECT count(*) AS n_rows, count(*) FILTER (s
 def stream_daily_cycle(spark, d):
     """Events as a file stream, all that is there taken once, to tumbling days."""
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"cycle_{uuid.uuid4().hex}"
-    run_to_table(daily(stream, "ts", "value"), name, shared(spark), "complete")
-    return rounded(spark.table(name).withColumn("day_start", F.col("day_start").cast("timestamp_ntz")), "mean_value")
+    path = shared(spark)
+    run_available(daily(stream, "ts", "value"), f"{path}/rows", f"{path}/checkpoint", "complete")
+    return rounded(read_sink(spark, f"{path}/rows", latest=True).withColumn("day_start", F.col("day_start").cast("timestamp_ntz")), "mean_value")
 
 
 STREAM = "SELECT date_trunc('day', ts)::TIMESTAMP AS day_start, count(*) AS n_rows, round(avg(value), 7) AS mean_value FROM events GROUP BY 1"

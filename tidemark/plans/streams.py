@@ -10,25 +10,43 @@ from .series import CAUSAL, MON, SERIES, monitored, rounded, scored, series
 from .vintages import VINTAGES, targets, vintages
 
 
-def scored_history_live(spark, d):
-    """A decision at each scored slot; some scores are unverified, some late, and one slot in 700 is scored twice."""
-    s = scored(spark, d)
+def history_inputs(spark, d):
+    """Decisions and scores of two streams: some scores are unverified, some late, and one stream scores some targets twice."""
+    s = scored(spark, d).withColumn("stream", F.explode(F.array(F.lit("clean"), F.lit("repeated"))))
     late = F.when(F.col("slot") % 7 == 0, 3).otherwise(0)
-    scores = s.select("slot", (F.col("slot") + 4 + late).alias("scored_at"), (F.col("slot") % 5 != 0).alias("verified"), F.col("frozen").alias("forecast"), F.col("price").alias("actual"))
-    scores = scores.unionByName(scores.filter("slot % 700 = 1"))
-    out = streams.scored_history(s.select(F.col("slot").alias("now"), F.col("frozen").alias("ridge")), scores)
-    return rounded(out, "ridge", "short_mean", "long_mean", "proposal", "anchor_delta", "ridge_consensus", "ridge_direction_veto")
+    scores = s.select("stream", "slot", (F.col("slot") + 4 + late).alias("scored_at"), (F.col("slot") % 5 != 0).alias("verified"), F.col("frozen").alias("forecast"), F.col("price").alias("actual"))
+    scores = scores.unionByName(scores.filter("stream = 'repeated' and slot % 700 = 1").withColumn("scored_at", F.col("scored_at") + 200))
+    return s.select("stream", F.col("slot").alias("now"), F.col("frozen").alias("ridge")), scores
+
+
+HISTORY_FIGURES = ("ridge", "short_mean", "long_mean", "proposal", "anchor_delta", "ridge_consensus", "ridge_direction_veto")
+
 
+#: Means of six-place numbers over 8, 24 or 96 rows often end in a tie of the seventh place; a nudge decides it, in whatever order sums ran.
+NUDGE = 3e-10
 
-SCORED_HISTORY = f"""WITH {SERIES}, sc0 AS (SELECT slot, slot + 4 AS known, slot + 4 + CASE WHEN slot % 7 = 0 THEN 3 ELSE 0 END AS at_, frozen AS f, price - frozen AS res FROM sco WHERE slot % 5 <> 0),
-sc AS (SELECT * FROM sc0 UNION ALL SELECT * FROM sc0 WHERE slot % 700 = 1),
-h AS (SELECT a.slot AS now, a.frozen AS ridge, count(b.slot) FILTER (b.known > a.slot - 12) AS sr, count(b.slot) AS lr, avg(res) FILTER (b.known > a.slot - 12) AS sm, avg(res) AS lm, arg_max(b.f, b.slot) AS anchor, count(b.slot) - count(DISTINCT b.slot) AS rep
-  FROM sco a LEFT JOIN sc b ON b.known <= a.slot AND b.known > a.slot - 96 AND b.at_ <= a.slot GROUP BY 1, 2),
-p AS (SELECT *, sr >= 8 AND lr >= 24 AS ok FROM h), q AS (SELECT *, CASE WHEN rep = 0 AND ok AND sm <> 0 AND sign(sm) = sign(lm) THEN sign(sm) * least(abs(sm), abs(lm)) ELSE 0.0 END AS prop FROM p),
+
+def nudged(df, *names):
+    return rounded(df.withColumns({n: F.col(n) + NUDGE for n in names}), *names)
+
+
+def scored_history_live(spark, d):
+    """A decision at each scored slot of either stream."""
+    return nudged(streams.scored_history(*history_inputs(spark, d), by=["stream"]), *HISTORY_FIGURES)
+
+
+SCORED_HISTORY = f"""WITH {SERIES}, two AS (SELECT sco.*, stream FROM sco, (VALUES ('clean'), ('repeated')) t(stream)),
+sc0 AS (SELECT stream, slot, slot + 4 AS known, slot + 4 + CASE WHEN slot % 7 = 0 THEN 3 ELSE 0 END AS at_, frozen AS f, price - frozen AS res FROM two WHERE slot % 5 <> 0),
+sc AS (SELECT * FROM sc0 UNION ALL SELECT stream, slot, known, at_ + 200, f, res FROM sc0 WHERE slot % 700 = 1 AND stream = 'repeated'),
+rp AS (SELECT stream, min(u) AS rep FROM (SELECT stream, greatest(known, at_) AS u, row_number() OVER (PARTITION BY stream, slot ORDER BY greatest(known, at_)) AS k FROM sc) WHERE k = 2 GROUP BY 1),
+h AS (SELECT a.stream, a.slot AS now, a.frozen AS ridge, count(b.slot) FILTER (b.known > a.slot - 12) AS sr, count(b.slot) AS lr, avg(res) FILTER (b.known > a.slot - 12) AS sm, avg(res) AS lm, arg_max(b.f, b.slot) AS anchor
+  FROM two a LEFT JOIN sc b ON a.stream = b.stream AND b.known <= a.slot AND b.known > a.slot - 96 AND b.at_ <= a.slot GROUP BY 1, 2, 3),
+p AS (SELECT h.*, sr >= 8 AND lr >= 24 AS ok, coalesce(rep <= now, false) AS dup FROM h LEFT JOIN rp USING (stream)),
+q AS (SELECT *, CASE WHEN NOT dup AND ok AND sm <> 0 AND sign(sm) = sign(lm) THEN sign(sm) * least(abs(sm), abs(lm)) ELSE 0.0 END AS prop FROM p),
 v AS (SELECT *, prop <> 0 AND sign(ridge - anchor) = sign(prop) AS al FROM q)
-SELECT now, round(ridge, 7) AS ridge, sr AS short_rows, lr AS long_rows, round(CASE WHEN ok THEN sm END, 7) AS short_mean, round(CASE WHEN ok THEN lm END, 7) AS long_mean, round(prop, 7) AS proposal, round(CASE WHEN prop <> 0 THEN ridge - anchor END, 7) AS anchor_delta,
- CASE WHEN rep > 0 THEN 'DUPLICATE_SCORED_TARGET' WHEN NOT ok THEN 'WAIT_FOR_GENUINE_PRETARGET_SCORES' WHEN prop = 0 THEN 'DISAGREEMENT_FALLBACK_RIDGE' WHEN al THEN 'SAME_SIGN_RESIDUALS' ELSE 'FROZEN_RIDGE_DIRECTION_VETO' END AS reason,
- round(ridge + prop, 7) AS ridge_consensus, round(ridge + CASE WHEN al THEN prop ELSE 0.0 END, 7) AS ridge_direction_veto FROM v"""
+SELECT stream, now, round(ridge + {NUDGE}, 7) AS ridge, sr AS short_rows, lr AS long_rows, round(CASE WHEN ok THEN sm END + {NUDGE}, 7) AS short_mean, round(CASE WHEN ok THEN lm END + {NUDGE}, 7) AS long_mean, round(prop + {NUDGE}, 7) AS proposal, round(CASE WHEN prop <> 0 THEN ridge - anchor END + {NUDGE}, 7) AS anchor_delta,
+ CASE WHEN dup THEN 'DUPLICATE_SCORED_TARGET' WHEN NOT ok THEN 'WAIT_FOR_GENUINE_PRETARGET_SCORES' WHEN prop = 0 THEN 'DISAGREEMENT_FALLBACK_RIDGE' WHEN al THEN 'SAME_SIGN_RESIDUALS' ELSE 'FROZEN_RIDGE_DIRECTION_VETO' END AS reason,
+ round(ridge + prop + {NUDGE}, 7) AS ridge_consensus, round(ridge + CASE WHEN al THEN prop ELSE 0.0 END + {NUDGE}, 7) AS ridge_direction_veto FROM v"""
 
 
 def stream_comparison(spark, d):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
@@ -17,24 +20,37 @@ def row_digests(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("row_sha256", F.sha2(canonical_json(columns), 256))
 
 
+def _chained(seed: str, by: Sequence[str]):
+    """Rows come sorted by chain and order; of a chain one digest is carried from row to row."""
+    start = hashlib.sha256(seed.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, start
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in by), strict=True)) or [()] * b.num_rows
+            links = []
+            for key, row in zip(keys, b.column("row_sha256").to_pylist(), strict=True):
+                if key != at:
+                    at, last = key, start
+                last = hashlib.sha256(f"{last}\n{row}".encode()).hexdigest()
+                links.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(links, pa.string())], [*b.schema.names, "chain_sha256"])
+
+    return run
+
+
 def build(rows: DataFrame, columns: Sequence[str], order: str, seed: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows with row_sha256 and chain_sha256, in the order of `order`, one chain for each `by`.
+    """Rows with row_sha256 and chain_sha256, in the order of `order` (unique in a chain), one chain for each `by`.
 
-    Digests of rows are computed in parallel. Links depend on each other, so a chain is folded in one place; it holds one
-    digest a row, not the row.
+    Digests of rows are computed in parallel. Each link needs the one before it, so a chain passes through one task, sorted,
+    in time linear in its length and with one digest in memory; what passes is the order and a digest a row, not the row.
     """
     digested = row_digests(rows, columns)
-    chain = digested.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "row_sha256"))).alias("c"))
-    first = F.sha2(F.lit(seed), 256)
-    start = F.struct(first.alias("last"), F.expr("cast(array() as array<string>)").alias("links"))
-
-    def link(state: Column, x: Column) -> Column:
-        new = F.sha2(F.concat(state["last"], F.lit("\n"), x["row_sha256"]), 256)
-        return F.struct(new.alias("last"), F.concat(state["links"], F.array(new)).alias("links"))
-
-    links = chain.select(*by, F.explode(F.arrays_zip(F.col("c"), F.aggregate("c", start, link)["links"].alias("links"))).alias("z"))
-    flat = links.select(*by, F.col(f"z.c.{order}").alias(order), F.col("z.links").alias("chain_sha256"))
-    return digested.join(flat, [*by, order])
+    narrow = digested.select(*by, order, "row_sha256")
+    dealt = narrow.repartition(*by) if by else narrow.repartition(1)
+    sorted_ = dealt.sortWithinPartitions(*by, order)
+    links = sorted_.mapInArrow(_chained(seed, by), StructType([*sorted_.schema.fields, StructField("chain_sha256", StringType())]))
+    return digested.join(links.drop("row_sha256"), [*by, order])
 
 
 def verify(ledger: DataFrame, columns: Sequence[str], order: str, seed: str, by: Sequence[str] = ()) -> DataFrame:

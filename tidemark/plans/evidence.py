@@ -141,8 +141,9 @@ _DRAW = f"CAST(('0x' || substr(md5('{SEED}-' || r || '-' || i), 1, 8)) AS BIGINT
 REVEAL = f"""WITH {SERIES}, w AS (SELECT *, abs(frozen - price) - abs(reference - price) AS gain FROM (SELECT * FROM sco ORDER BY slot LIMIT {SEALED})), c AS (SELECT count(*) AS n, count(*) FILTER (slot % 19 <> 0) AS few, count(*) FILTER (slot % 97 = 0) AS twice FROM w),
 dd AS (SELECT slot // 48 AS day, sum(gain) AS gain, count(*) AS n, row_number() OVER (ORDER BY slot // 48) - 1 AS k FROM w GROUP BY 1), dr AS (SELECT r, {_DRAW} % (SELECT count(*) FROM dd) AS k FROM range({REPLICATES}) a(r), range((SELECT count(*) FROM dd)) b(i)),
 q AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT r, sum(gain) / sum(n) AS m FROM dr JOIN dd ON dd.k = dr.k GROUP BY 1))
-SELECT 'complete' AS attempt, 'SEALED_CONFIRMATORY_REVEALED' AS status, (SELECT n FROM c) AS n_rows, round((SELECT avg(gain) FROM w), 7) AS mean_difference, round(low, 7) AS low, round(high, 7) AS high, CASE WHEN high < 0 THEN 'CONFIRMATORY_POSITIVE' WHEN low > 0 THEN 'CONFIRMATORY_NEGATIVE' ELSE 'CONFIRMATORY_INCONCLUSIVE' END AS classification FROM q
-UNION ALL SELECT 'again', 'ALREADY_REVEALED', NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'too_early', 'SEALED_ACCUMULATION', NULL, NULL, NULL, NULL, NULL
+SELECT 'complete' AS attempt, CASE WHEN full_ THEN 'SEALED_CONFIRMATORY_REVEALED' ELSE 'SEALED_ACCUMULATION' END AS status, CASE WHEN full_ THEN (SELECT n FROM c) END AS n_rows, CASE WHEN full_ THEN round((SELECT avg(gain) FROM w), 7) END AS mean_difference, CASE WHEN full_ THEN round(low, 7) END AS low, CASE WHEN full_ THEN round(high, 7) END AS high,
+ CASE WHEN NOT full_ THEN NULL WHEN high < 0 THEN 'CONFIRMATORY_POSITIVE' WHEN low > 0 THEN 'CONFIRMATORY_NEGATIVE' ELSE 'CONFIRMATORY_INCONCLUSIVE' END AS classification FROM (SELECT *, (SELECT n = {SEALED} FROM c) AS full_ FROM q)
+UNION ALL SELECT 'again', CASE WHEN n = {SEALED} THEN 'ALREADY_REVEALED' ELSE 'SEALED_ACCUMULATION' END, NULL, NULL, NULL, NULL, NULL FROM c UNION ALL SELECT 'too_early', 'SEALED_ACCUMULATION', NULL, NULL, NULL, NULL, NULL
 UNION ALL SELECT 'repeated', CASE WHEN twice > 0 THEN 'BLOCKED_EVIDENCE' END, NULL, NULL, NULL, NULL, NULL FROM c UNION ALL SELECT 'too_few_rows', CASE WHEN few / n < 0.95 THEN 'BLOCKED_EVIDENCE' ELSE 'SEALED_ACCUMULATION' END, NULL, NULL, NULL, NULL, NULL FROM c"""
 
 QUERIES = {"content_identity": (content_identity, IDENTITY), "sealed_grid": (sealed_grid, GRID), "frozen_replay": (frozen_replay, REPLAY), "sealed_reveal": (sealed_reveal, REVEAL)}

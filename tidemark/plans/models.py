@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import slot_of
+from ..functions import fixed_nine, slot_of
 from ..operators import bootstrap, clock, experiment, features, governance, ledger, monitor, ridge
 from ..sources import table, write_zstd
 from ..streaming import daily, read_sink, run_available
@@ -131,35 +131,39 @@ BOOT_MOVING = f"""WITH {_GAINS}, g AS (SELECT gain, row_number() OVER (ORDER BY
 dr AS (SELECT r, i, {_DRAW} % (SELECT n - {BLOCK - 1} FROM c) AS a, CASE WHEN i < (SELECT dn FROM c) - 1 THEN {BLOCK} ELSE (SELECT n - (dn - 1) * {BLOCK} FROM c) END AS len FROM range({REPLICATES}) x(r), range((SELECT dn FROM c)) y(i)),
 m AS (SELECT r, sum(gain) / max(n) AS mean FROM dr JOIN g ON g.k >= dr.a AND g.k < dr.a + dr.len GROUP BY 1) SELECT {_INTERVAL} FROM m"""
 
-COLUMNS, CHAIN_SEED = ["cents", "slot"], "tidemark-ledger-v1"
+COLUMNS, CHAIN_SEED = ["price", "slot"], "tidemark-ledger-v1"
 
 
 def _rows(spark, d):
-    cents = F.round(F.col("price") * 100).cast("long").cast("string")
-    return series(spark, d).filter("price is not null").select(F.col("slot").cast("string").alias("slot"), cents.alias("cents"), F.col("slot").alias("position"))
+    return series(spark, d).filter("price is not null").select(F.col("slot").cast("string").alias("slot"), fixed_nine(F.col("price") / 7).alias("price"), F.col("slot").alias("position"))
 
 
 def ledger_build(spark, d):
-    return ledger.build(_rows(spark, d), COLUMNS, "position", CHAIN_SEED).select("slot", "cents", "row_sha256", "chain_sha256")
+    return ledger.build(_rows(spark, d), COLUMNS, "position", CHAIN_SEED).select("slot", "price", "row_sha256", "chain_sha256")
 
 
-_LEDGER = f"""RECURSIVE {SERIES}, rows_ AS (SELECT CAST(slot AS VARCHAR) AS slot, CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR) AS cents, row_number() OVER (ORDER BY slot) AS k FROM ser WHERE price IS NOT NULL),
-dig AS (SELECT *, sha256('{{"cents":"' || cents || '","slot":"' || slot || '"}}') AS row_sha256 FROM rows_),
-ch AS (SELECT k, slot, cents, row_sha256, sha256(sha256('{CHAIN_SEED}') || chr(10) || row_sha256) AS chain_sha256 FROM dig WHERE k = 1
-  UNION ALL SELECT d.k, d.slot, d.cents, d.row_sha256, sha256(ch.chain_sha256 || chr(10) || d.row_sha256) FROM ch JOIN dig d ON d.k = ch.k + 1)"""
-LEDGER = f"WITH {_LEDGER} SELECT slot, cents, row_sha256, chain_sha256 FROM ch"
+_LEDGER = f"""RECURSIVE {SERIES}, rows_ AS (SELECT CAST(slot AS VARCHAR) AS slot, printf('%.9f', price / 7) AS price, row_number() OVER (ORDER BY slot) AS k FROM ser WHERE price IS NOT NULL),
+dig AS (SELECT *, sha256('{{"price":"' || price || '","slot":"' || slot || '"}}') AS row_sha256 FROM rows_),
+ch AS (SELECT k, slot, price, row_sha256, sha256(sha256('{CHAIN_SEED}') || chr(10) || row_sha256) AS chain_sha256 FROM dig WHERE k = 1
+  UNION ALL SELECT d.k, d.slot, d.price, d.row_sha256, sha256(ch.chain_sha256 || chr(10) || d.row_sha256) FROM ch JOIN dig d ON d.k = ch.k + 1)"""
+LEDGER = f"WITH {_LEDGER} SELECT slot, price, row_sha256, chain_sha256 FROM ch"
 
 
 def ledger_verify(spark, d):
-    """The ledger with one amount edited, and the check of its prefix."""
+    """The ledger with an amount, a link and the order tampered with, and the check of the prefix that was locked before."""
     good = ledger.build(_rows(spark, d), COLUMNS, "position", CHAIN_SEED)
-    edited = good.withColumn("cents", F.when(F.col("slot") == "946800", F.lit("1")).otherwise(F.col("cents")))
+    at = lambda n: F.col("position") % 200 == n
+    edited = good.withColumns({
+        "price": F.when(at(17), F.lit("1.000000000")).otherwise(F.col("price")), "chain_sha256": F.when(at(58), F.lit("0" * 64)).otherwise(F.col("chain_sha256")),
+        "slot": F.when(at(101), (F.col("position") - 60).cast("string")).otherwise(F.col("slot"))})
     bad = ledger.verify(edited, COLUMNS, "slot", CHAIN_SEED)
-    return bad.crossJoin(ledger.verify_prefix(good, good.filter("position < 947000")))  # one row by one row
+    return bad.crossJoin(ledger.verify_prefix(edited, good.filter("position < 947000")))  # one row by one row
 
 
-LEDGER_VERIFY = f"""WITH {_LEDGER} SELECT count(*) AS n_rows, count(*) FILTER (slot = '946800' AND cents <> '1') AS bad_digests, CAST(0 AS BIGINT) AS bad_links, CAST(0 AS BIGINT) AS bad_order, count(*) FILTER (CAST(slot AS BIGINT) < 947000) AS locked_rows,
- count(*) AS current_rows, CAST(0 AS BIGINT) AS changed_rows, count(*) FILTER (CAST(slot AS BIGINT) >= 947000) AS new_rows, 'LOCKED_PREFIX_REPRODUCED' AS status FROM ch"""
+_AT = "CAST(slot AS BIGINT) % 200"
+LEDGER_VERIFY = f"""WITH {_LEDGER}, n AS (SELECT *, CAST(slot AS BIGINT) AS p, lag(CAST(slot AS BIGINT)) OVER (ORDER BY k) AS before FROM ch)
+SELECT count(*) AS n_rows, count(*) FILTER ({_AT} IN (17, 101)) AS bad_digests, count(*) FILTER ({_AT} = 58) + count(*) FILTER (before % 200 = 58) AS bad_links, count(*) FILTER ({_AT} = 101 AND before >= p - 60) AS bad_order,
+ count(*) FILTER (p < 947000) AS locked_rows, count(*) AS current_rows, count(*) FILTER (p < 947000 AND {_AT} = 58) AS changed_rows, count(*) FILTER (p >= 947000) AS new_rows, CASE WHEN count(*) FILTER (p < 947000 AND {_AT} = 58) = 0 THEN 'LOCKED_PREFIX_REPRODUCED' ELSE 'LOCKED_PREFIX_CHANGED' END AS status FROM n"""
 
 
 def stream_daily_cycle(spark, d):

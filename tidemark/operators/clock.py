@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import slot_of
+from ..functions import SLOT_US, ceil_slot, slot_of
 
 
 def settlement_days(days: DataFrame, zone: str = "Europe/London") -> DataFrame:
@@ -46,3 +46,40 @@ def rolling_folds(spark: SparkSession, train_start: int, score_start: int, score
         ((start - score_start) / fold + 1).cast("int").alias("fold"), F.lit(train_start).cast("long").alias("train_start"), (start - warmup - calibration - selection).alias("selection_start"),
         (start - warmup - calibration).alias("calibration_start"), (start - warmup).alias("warmup_start"), start.alias("score_start"), F.least(start + fold, F.lit(score_end)).cast("long").alias("score_end"),
     )
+
+
+MINUTE = 60_000_000
+
+
+def target_after(decision_us: Column, lead: int = 120) -> Column:
+    """The first slot that begins `lead` minutes after the decision or later."""
+    if lead < 120:
+        raise ValueError("the lead is 120 minutes at least")
+    return ceil_slot(decision_us + lead * MINUTE)
+
+
+def market_end(decision_us: Column, delay: int = 90) -> Column:
+    """The slot before which prices are known: a half-hour counts once it has ended and `delay` minutes have passed."""
+    if delay < 30:
+        raise ValueError("the delay is 30 minutes at least")
+    return F.floor((decision_us - delay * MINUTE) / F.lit(SLOT_US)).cast("long")
+
+
+def safe_boundary(now_us: Column, lag: int = 90) -> Column:
+    """The slot that `lag` minutes ago was in."""
+    return F.floor((now_us - lag * MINUTE) / F.lit(SLOT_US)).cast("long")
+
+
+def forward_start(lock_us: Column, horizon: int = 4) -> Column:
+    """The first target after a lock: its decision is on the first grid point strictly after it, so the start cannot be picked."""
+    return (F.floor(lock_us / F.lit(SLOT_US)) + 1 + horizon).cast("long")
+
+
+def freeze_window(now_us: Column, decision_slot: Column, target_slot: Column) -> Column:
+    """Whether a first prediction may be frozen now: not ahead of its decision, and not once its target has begun."""
+    return F.when(now_us < decision_slot.cast("long") * F.lit(SLOT_US), "FIRST_DECISION_NOT_REACHED").when(now_us >= target_slot.cast("long") * F.lit(SLOT_US), "FIRST_TARGET_ALREADY_STARTED").otherwise("FREEZE_ALLOWED")
+
+
+def period_class(slot: Column, threshold: Column, before: str, after: str) -> Column:
+    """One of two labels, by whether the slot is ahead of a threshold."""
+    return F.when(slot < threshold, before).otherwise(after)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("vintages", "series", "models", "provider", "streams", "cycles", "walkforward", "evidence", "exchange", "uncertainty", "live", "forms")
+MODULES: tuple[str, ...] = ("vintages", "series", "models", "provider", "streams", "cycles", "walkforward", "evidence", "exchange", "uncertainty", "live", "forms", "diagnosis")
 
 
 def _all() -> dict[str, tuple]:

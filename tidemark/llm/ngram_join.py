@@ -297,13 +297,20 @@ def _across(at: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) in a bucket but in different components, as far as the sketches do not rule them out.
 
     One side has only the classes outside the component that most of the bucket is in, so a bucket that is in one
-    component but for few classes costs few comparisons.
+    component but for few classes costs few comparisons. Two classes that are both outside it meet once, not once from
+    either side. Of signatures that the very same classes share (told by their number and two hashes of them) one is kept, as the
+    others would only offer the same pairs again.
     """
+    at = at.select("sig", "node", "component").distinct()
+    mark = lambda k: F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}")
+    marks = at.groupBy("sig").agg(F.count("*").alias("n"), mark(1), mark(2)).groupBy("n", "mark1", "mark2").agg(F.min("sig").alias("sig"))
+    at = settle(at.join(marks.select("sig").hint("merge"), "sig", "left_semi"))
     most = at.groupBy("sig", "component").count().groupBy("sig").agg(F.max(F.struct("count", "component")).alias("m")).select("sig", F.col("m.component").alias("main"))
     full = at.join(light.hint("merge"), "node")
-    rest = full.join(most.hint("merge"), "sig").filter("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
-    all_ = full.select("sig", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-    met = rest.join(all_.hint("merge"), (rest.sig == all_.sig) & (F.col("xc") != F.col("yc")) & _may_link(percent))
+    both = full.join(most.hint("merge"), "sig").withColumn("out", F.col("component") != F.col("main"))
+    rest = both.filter("out").select("sig", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    all_ = both.select("sig", "out", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    met = rest.join(all_.hint("merge"), (rest.sig == all_.sig) & (F.col("xc") != F.col("yc")) & (~F.col("out") | (F.col("x") < F.col("y"))) & _may_link(percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,6 +68,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+
+
+def give_back() -> None:
+    """Return to the system what a Python worker has freed: workers are kept for later tasks, and share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text each, or one row."""
     n, start, held = batch.num_rows, 0, 0
@@ -77,7 +91,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -
         held += sizes[i]
     if start < n:
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # workers that wait for their next task hold what they have not given back
+    give_back()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, row_key, settle
+from .common import free_name, give_back, row_key, settle
 
 SPACE = b" \t\n\v\f\r"
 MAP_BYTES, TABLE_BYTES, FAN_OUT, HOT_ROWS, SALTS = 24 << 20, 48 << 20, 16, 64, 64
@@ -147,6 +147,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from leave()
                     table = OpenTable()
         yield from leave()
+        del table
+        give_back()
 
     yield from _batches(rows(), ["digest", "salt", "content", "n", "points", "id"], [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])
 
@@ -161,6 +163,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         digests = pa.array([hashlib.sha256(normalised(t)).digest() for t in b.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], digests], [*b.schema.names[:-1], "digest"])
+        give_back()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

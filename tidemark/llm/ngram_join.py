@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, release, row_key, settle, table
+from .common import connected_components, give_back, release, row_key, settle, table
 
 SHINGLE, PERCENT, WIDTH, PIVOT_ROUNDS, SKETCH_LONGS, KNOWN = 5, 80, 2.0, 2, 16, 100_000
 SECOND, SLICE, HOT, SALTS = 3, 500, 32, 1009
@@ -150,6 +150,7 @@ def _classes(size: int):
                 b = whole.slice(s, SLICE)
                 sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64())], ["id", "row", "n", "node"])
+            give_back()
 
     return run
 
@@ -173,6 +174,7 @@ def _signed(size: int, bands: Bands):
                 if found:
                     sigs = np.concatenate(found)
                     yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(_salts(sigs)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in found]))], ["sig", "salt", "node"])
+            give_back()
 
     return run
 
@@ -183,6 +185,7 @@ def _described(size: int):
             for s in range(0, whole.num_rows, SLICE):
                 sets = [shingle_set(t, size) for t in whole.slice(s, SLICE).column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _lists([sketch(x).view(np.uint64) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "sketch", "set"])
+            give_back()
 
     return run
 
@@ -197,6 +200,7 @@ def _linked(percent: int):
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 linked.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            give_back()
 
     return run
 

@@ -197,6 +197,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     given = settle(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")))
     sound = given.filter("v is not null").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).select("row", F.size("v").alias("d"), "v")
     placed = settle(sound.mapInArrow(_place(_cells(sound, theta), theta), f"row long, d int, v {kind}, home int, angle double, core boolean, asked array<int>, at array<double>"))
+    ids = settle(given.select("row", "id"))
+    del given, sound  # their vectors stand in placed
+    release(spark)
     groups = settle(_groups(placed))
     leaders = F.broadcast(groups.filter("core_size > 0").select("d", F.col("cell").alias("home"), "leader", "core_size"))
     found = settle(_tiles(placed, groups, theta).mapInArrow(_compare(cosine), "row long, a long, b long, n long"))
@@ -206,7 +209,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     counts = found.filter("n is not null").groupBy("row").agg(F.sum("n").alias("n"))
     lead = lambda c: F.crc32(F.col(c).cast("string").cast("binary")).alias("lead")  # noqa: E731  lets adaptive execution split a hot node
     named = members.select("*", lead("node")).join(nodes.select("node", lead("node"), "component"), ["node", "lead"], "left").select("row", "sure", F.coalesce("component", "node").alias("component"))
-    judged = settle(given.select("row", "id").join(named, "row", "left").join(counts, "row", "left").select("row", "id", F.coalesce("component", "row").alias("component"), (F.coalesce("sure", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links")))
+    judged = settle(ids.join(named, "row", "left").join(counts, "row", "left").select("row", "id", F.coalesce("component", "row").alias("component"), (F.coalesce("sure", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links")))
     #: Aggregates of longs stay in hash tables with map-side sums; the row of a component's smallest id comes in a second one.
     least = judged.groupBy("component").agg(F.min("id").alias("component_id"))
     ids = judged.select("*", lead("component")).join(least.select("component", lead("component"), "component_id"), ["component", "lead"])
@@ -216,10 +219,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
 
 def _cells(sound: DataFrame, theta: float) -> dict[int, np.ndarray]:
-    """Centroids by dimension, from SAMPLE rows of each at most."""
+    """Centroids by dimension, from SAMPLE rows of each at most. Only about twice as many leave the tasks that read them."""
+    sizes = F.broadcast(sound.groupBy("d").agg(F.count("*").alias("of")))  # a row for each dimension
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / (1 << 30)
+    some = sound.join(sizes, "d").filter(share * F.col("of") <= 2 * SAMPLE).select("d", "row", "v")
     order = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("row"), "row"))
     chosen: dict[int, list] = {}
-    for r in sound.withColumn("n", order).filter(F.col("n") <= SAMPLE).select("d", "v").toLocalIterator():
+    for r in some.withColumn("n", order).filter(F.col("n") <= SAMPLE).select("d", "v").toLocalIterator():
         chosen.setdefault(r.d, []).append(np.array(r.v, np.float64))
     return {d: fit_cells(unit(np.stack(x)), theta) for d, x in chosen.items()}
 

@@ -396,7 +396,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     if spans_col in docs.columns:
         raise ValueError(f"docs has a column {spans_col}; choose another name for the spans")
     row = free_name(docs, "row", spans_col)
-    spans = repeats(docs, length, id_col=id_col, text_col=text_col).select(F.col("row").alias(row), F.col("spans").alias(spans_col))
+    #: Settled, so that the exchanges that found the spans are gone before texts are dealt once more.
+    spans = settle(repeats(docs, length, id_col=id_col, text_col=text_col).select(F.col("row").alias(row), F.col("spans").alias(spans_col)))
+    release(docs.sparkSession)
     met = docs.withColumn(row, row_key(id_col, text_col)).join(spans, row, "left").drop(row).withColumn(text_col, F.col(text_col).cast("string"))
     at = met.columns.index(text_col)
 

@@ -65,7 +65,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # first the frames, then what they alone referred to
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.5)  # files go in the background; what follows would stand beside them
 
 
 @cache

@@ -25,6 +25,30 @@ def test_spellings_of_an_instant(spark):
     assert [r.t for r in rows] == [dt.datetime(2026, 5, 1, 10, 30)] * len(same) + [dt.datetime(2026, 5, 1), None, None]
 
 
+def test_plain_instants_and_those_that_only_look_so(spark):
+    texts = ["2026-05-01 10:30:00", "2026-05-01T10:30:00", "2026-05-01 10:30:0Z", "2026-05-01 10:30+00", "2026-13-01 10:30:00", "2026-05-01x10:30:00"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", providers.utc_time("t").alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == [dt.datetime(2026, 5, 1, 10, 30)] * 3 + [None] * 3
+
+
+def test_both_regimes_come_from_one_scan(spark, tmp_path):
+    row = ("2026-07-01T00:30:00", "2026-07-01T00:00:00", 1, "2026-06-30 12:00:00", 1.0, "n/a", 2.0, 3.0)
+    names = "DATE_GMT string, SETTLEMENT_DATE string, SETTLEMENT_PERIOD int, Forecast_Datetime string, EMBEDDED_WIND_FORECAST double, EMBEDDED_WIND_CAPACITY string, EMBEDDED_SOLAR_FORECAST double, EMBEDDED_SOLAR_CAPACITY double"
+    rows = [row, row, ("2026-07-01T01:00:00", *row[1:2], 4, *row[3:]), ("2026-07-01T00:30:00", *row[1:2], 49, *row[3:]), (None, *row[1:])]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    both = providers.vintage_archive(raw, *providers.REGIMES)
+    assert both._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    apart = providers.vintage_archive(raw, "legacy").unionByName(providers.vintage_archive(raw, "current"))
+    assert both.columns == apart.columns and both.exceptAll(apart).count() == apart.exceptAll(both).count() == 0
+    faults = lambda r: sorted(str(x.fault) for x in both.filter(F.col("source_regime") == r).collect())
+    assert faults("legacy") == ["DUPLICATE_KEY"] * 3 + ["None", "UNREADABLE_KEY"]
+    assert faults("current") == ["CLOCK_MISMATCH"] * 3 + ["None", "UNREADABLE_KEY"]
+    for wrong in ((), ("legacy", "legacy"), ("other",)):
+        with pytest.raises(ValueError, match="regime"):
+            providers.vintage_archive(raw, *wrong)
+
+
 def test_accepted_fails_closed_and_passes_clean_rows(spark):
     row = ("2026-10-25T00:30:00Z", "2026-10-25", "4", "APXMIDP", "50.5", "3")
     raw = lambda *rows: providers.market_index(spark.createDataFrame(rows, "startTime string, settlementDate string, settlementPeriod string, dataProvider string, price string, volume string"))

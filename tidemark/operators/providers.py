@@ -35,11 +35,15 @@ def period_end(day: Column, period: Column, zone: str = ZONE) -> Column:
 def utc_time(text: str | Column) -> Column:
     """An instant from the usual spellings: T or space, seconds or none, a fraction, Z or an offset, or a date alone.
     Without an offset it is UTC; what cannot be read is NULL."""
-    t = (F.col(text) if isinstance(text, str) else text).cast("string")
+    whole = (F.col(text) if isinstance(text, str) else text).cast("string")
+    #: yyyy-MM-dd HH:mm:ss, which most records have, needs no repair: it is NULL to the patterns, and they cost nothing.
+    at = lambda i: whole.substr(i, 1)
+    plain = (F.length(whole) == 19) & (at(5) == "-") & (at(8) == "-") & at(11).isin("T", " ") & (at(14) == ":") & (at(17) == ":") & at(19).between("0", "9")
+    t = F.when(~plain, whole)
     t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2})$", "$1 00:00:00")
     t = F.regexp_replace(t, r"^([^:]*:\d{2})(?=$|[zZ]|[+-])", "$1:00")
     t = F.when(t.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(t, F.lit("Z")))
-    t = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    t = F.coalesce(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), F.concat(whole, F.lit("Z")))
     return F.timestamp_micros(F.unix_micros(t.try_cast("timestamp"))).cast("timestamp_ntz")
 
 
@@ -116,23 +120,30 @@ def _embedded() -> list[Column]:
     return [_number(F.col(c)).alias(n) for n, c in EMBEDDED.items()]
 
 
-def vintage_archive(raw: DataFrame, regime: str, tolerance_seconds: float = 1.0, latest_days: int = 14) -> DataFrame:
-    """Vintages of one regime. `legacy`: the settlement key gives the target. `current`: the raw period end does, once the
-    key of its local date agrees; the local date is that of the period's start."""
+REGIMES = ("legacy", "current")
+
+
+def vintage_archive(raw: DataFrame, *regimes: str, tolerance_seconds: float = 1.0, latest_days: int = 14) -> DataFrame:
+    """Vintages of one regime, or of both from one scan. `legacy`: the settlement key gives the target. `current`: the raw
+    period end does, once the key of its local date agrees; the local date is that of the period's start."""
     require_columns(raw, "DATE_GMT", "SETTLEMENT_DATE", "SETTLEMENT_PERIOD", "Forecast_Datetime", *EMBEDDED.values())
-    if regime not in ("legacy", "current"):
-        raise ValueError(f"regime {regime!r} is neither legacy nor current")
+    if wrong := [r for r in regimes if r not in REGIMES]:
+        raise ValueError(f"regime {wrong[0]!r} is neither legacy nor current")
+    if not regimes or len(set(regimes)) < len(regimes):
+        raise ValueError("name each regime once, and at least one regime")
     out = _keyed(raw, "SETTLEMENT_DATE", "SETTLEMENT_PERIOD", utc_time("DATE_GMT").alias("_raw"), utc_time("Forecast_Datetime").alias("publish_time_utc"), *_embedded())
-    if regime == "current":
-        out = out.withColumn("settlement_date", F.from_utc_timestamp(F.col("_raw") - F.expr(HALF_HOUR), ZONE).cast("date"))
-    end = period_end(F.col("settlement_date"), F.col("settlement_period"))
-    out = out.withColumn("target_end_utc", end if regime == "legacy" else F.col("_raw"))
-    out = out.withColumn("clock_difference_seconds", F.lit(0.0) if regime == "legacy" else F.abs(micros("_raw") - micros(end)) / 1e6)
+    local = F.from_utc_timestamp(F.col("_raw") - F.expr(HALF_HOUR), ZONE).cast("date")
+    day, period = F.col("settlement_date"), F.col("settlement_period")
+    of = {"legacy": (day, period_end(day, period), F.lit(0.0)), "current": (local, F.col("_raw"), clock_error(F.col("_raw") - F.expr(HALF_HOUR), local, period))}
+    names = "settlement_date", "target_end_utc", "clock_difference_seconds"
+    cases = [F.struct(F.lit(REGIMES.index(r)).alias("regime"), *(x.alias(n) for x, n in zip(of[r], names, strict=True))) for r in regimes]
+    out = out.withColumn("_case", F.explode(F.array(*cases))).withColumns({n: F.col(f"_case.{n}") for n in names} | {"_regime": F.col("_case.regime")})
     fault = _fault(
         (F.col("target_end_utc").isNull() | F.col("publish_time_utc").isNull(), "UNREADABLE_KEY"), (F.col("clock_difference_seconds") > tolerance_seconds, "CLOCK_MISMATCH"),
-        (_repeated("target_end_utc", "publish_time_utc"), "DUPLICATE_KEY"), (micros("publish_time_utc") > micros("target_end_utc") + latest_days * 86_400_000_000, "IMPLAUSIBLE_PUBLICATION"),
+        (_repeated("target_end_utc", "publish_time_utc", "_regime"), "DUPLICATE_KEY"), (micros("publish_time_utc") > micros("target_end_utc") + latest_days * 86_400_000_000, "IMPLAUSIBLE_PUBLICATION"),
     )
-    return out.withColumns({"target_start_utc": F.col("target_end_utc") - F.expr(HALF_HOUR), "source_regime": F.lit(regime), "fault": fault}).drop("_raw")
+    regime = F.when(F.col("_regime") == 0, REGIMES[0]).otherwise(F.lit(REGIMES[1]))
+    return out.withColumns({"target_start_utc": F.col("target_end_utc") - F.expr(HALF_HOUR), "source_regime": regime, "fault": fault}).drop("_raw", "_case", "_regime")
 
 
 def vintage_chunk(raw: DataFrame, regime: str) -> DataFrame:

@@ -81,8 +81,7 @@ _MW = "l_quantity AS wind_mw, CASE WHEN l_linenumber <> 3 THEN l_tax END AS wind
 
 
 def vintage_archive_rows(spark, d):
-    raw = _forecasts(spark, d)
-    return text_date(providers.vintage_archive(raw, "legacy").unionByName(providers.vintage_archive(raw, "current")))
+    return text_date(providers.vintage_archive(_forecasts(spark, d), *providers.REGIMES))
 
 
 VINTAGE_ARCHIVE = f"""WITH {_FC},

@@ -84,6 +84,17 @@ def test_against_brute_force(spark, monkeypatch, percent, k, rounds, hot):
     assert got == brute(rows, k, percent)
 
 
+def test_a_pair_of_many_signatures_is_made_once(spark):
+    """30 classes, each two of which share 40 signatures and more; two classes that share a late one only still meet."""
+    rows = [(s, n, n) for s in range(60) for n in range(30) if (s + n) % 10] + [(1000 + s, 40 + n, 40 + n) for n in (0, 1) for s in range(20 + n, 60, 2)]
+    rows += [(5000, 40, 40), (5000, 41, 41)]
+    at = spark.createDataFrame(rows, "sig long, node long, component long").repartition(3)
+    light = spark.createDataFrame([(n, 100, [0] * nj.SKETCH_LONGS) for n in {r[1] for r in rows}], "node long, n long, sketch array<long>")
+    made = sorted((r.a, r.b) for r in nj._meetings(at, light, 80).collect())
+    assert made == [*((a, b) for a in range(30) for b in range(a + 1, 30)), (40, 41)]
+    assert sorted((r.a, r.b) for r in nj._across(at, light, 80).collect()) == made
+
+
 def test_components_and_empty_tables(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(3, 2), (2, 1), (3, 3)] + [(500, i) for i in range(501, 540)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -77,6 +77,19 @@ def test_batches_anywhere(texts):
     assert [(bytes(a), bytes(b).decode()) for a, b in bpe.batch_codes(column, WORD)] == [(struct.pack(f"<{len(i)}I", *i), word.decode(i, skip_special_tokens=False)) for i in ids]
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_chunks_of_earlier_batches_are_not_coded_again(monkeypatch, most):
+    words, split, seen = bpe.vocabulary(WORD), bpe.words_of, []
+    monkeypatch.setattr(bpe, "CHUNKS", most)
+    monkeypatch.setattr(words, "chunks", {})
+    monkeypatch.setattr(words, "older", {})
+    monkeypatch.setattr(bpe, "words_of", lambda text, path: seen.append(text) or split(text, path))
+    codes = [[(bytes(a), bytes(b)) for a, b in bpe.batch_codes(pa.array(["one two Three", "four's " + "x" * 60, None, "one"]), WORD)] for _ in range(3)]
+    assert codes[0] == codes[1] == codes[2] and len(words.chunks) <= most
+    if most > 3:
+        assert sorted(seen) == sorted(["one", "two", "Three", "four's", "", *["x" * 60] * 3])
+
+
 def test_queries(spark):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate([*TEXTS, *TEXTS])], "doc_id long, text string, n_tokens int")
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
